@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from orgweave.operators.snapshots import union_all
 from orgweave.session import Scratch
 
-LEVELS_PER_CUT = 4
+STRIPS_PER_CUT = 4
 
 
 def counted_links(nodes: DataFrame, node: str, parents: str, children: str) -> DataFrame:
@@ -33,9 +33,9 @@ def resolve_hierarchy(links: DataFrame, scratch: Scratch) -> DataFrame:
     their root and depth are -1 and their path is null.
 
     A node named under several parents follows the smallest of them, so every
-    node has one path.  A link to oneself is a loop.  No links, no rows.  The
-    frontier is cut to a table every few levels; a level is one join that AQE
-    splits if a parent holds most of the children.
+    node has one path.  A link to oneself is a loop.  No links, no rows.  Each
+    level is one join that AQE splits if a parent holds most of the children; its
+    frontier is cut to a table, so the plan of a level doesn't grow with depth.
     """
     tree = scratch.cut(links.groupBy("child").agg(F.min("parent").alias("parent")))
     nodes = links.select(F.explode(F.array("parent", "child")).alias("node")).distinct()
@@ -47,21 +47,15 @@ def resolve_hierarchy(links: DataFrame, scratch: Scratch) -> DataFrame:
     start = roots.select("node", F.col("node").alias("root"), F.lit(0).alias("depth"), F.array("node").alias("path"))
     frontier = scratch.cut(start)
     reached = [frontier]
-    floor = 0
-    while True:
-        levels, last = [], frontier
-        for _ in range(LEVELS_PER_CUT):
-            last = last.select(F.col("node").alias("parent"), "root", "depth", "path").join(tree, "parent").select(
+    while not frontier.isEmpty():
+        below = frontier.select(F.col("node").alias("parent"), "root", "depth", "path").join(tree, "parent")
+        frontier = scratch.cut(
+            below.select(
                 F.col("child").alias("node"), "root", (F.col("depth") + 1).alias("depth"),
                 F.concat("path", F.array("child")).alias("path"),
             )
-            levels.append(last)
-        block = scratch.cut(union_all(levels))
-        reached.append(block)
-        floor += LEVELS_PER_CUT
-        frontier = block.where(F.col("depth") == floor)
-        if frontier.isEmpty():
-            break
+        )
+        reached.append(frontier)
     done = union_all(reached)
     lost = nodes.join(done.select("node"), "node", "left_anti")
     minus = F.lit(-1)
@@ -84,7 +78,7 @@ def descendants(resolved: DataFrame) -> DataFrame:
 def loops(links: DataFrame, resolved: DataFrame, scratch: Scratch) -> DataFrame:
     """``node, on_loop`` of the unreached nodes: on a loop itself, or hanging below one.
 
-    Leaves of the unreached part are stripped level by level; what stays is the loops.
+    Leaves of the unreached part are stripped in rounds; what stays is the loops.
     """
     tree = links.groupBy("child").agg(F.min("parent").alias("parent"))
     lost = scratch.cut(resolved.where("depth < 0").select("node"))
@@ -96,7 +90,7 @@ def loops(links: DataFrame, resolved: DataFrame, scratch: Scratch) -> DataFrame:
     n = left.count()
     while n:
         kept = left
-        for _ in range(LEVELS_PER_CUT):
+        for _ in range(STRIPS_PER_CUT):
             kept = kept.join(kept.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").select("parent", "child")
         kept = scratch.cut(kept)
         m = kept.count()
