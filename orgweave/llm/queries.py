@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from orgweave.llm import p1_groups
+from orgweave.llm import p1_groups, p8_p9_tokens
 
-QUERIES = {"p1_found": p1_groups.p1_found}
+QUERIES = {
+    "p1_found": p1_groups.p1_found,
+    "p8_ids": p8_p9_tokens.p8_ids,
+    "p9_packed": p8_p9_tokens.p9_packed,
+    "p9_fill": p8_p9_tokens.p9_fill,
+}
 ORACLE = {"p1_found": p1_groups.P1_SQL}
