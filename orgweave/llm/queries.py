@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from orgweave.llm import p1_groups, p8_p9_tokens
+from orgweave.llm import p1_groups, p3_encoding, p5_pages, p8_p9_tokens
 
 QUERIES = {
     "p1_found": p1_groups.p1_found,
+    **p3_encoding.QUERIES,
+    "p5_found": p5_pages.p5_found,
+    "p5_bodies": p5_pages.p5_bodies,
     "p8_ids": p8_p9_tokens.p8_ids,
     "p9_packed": p8_p9_tokens.p9_packed,
     "p9_fill": p8_p9_tokens.p9_fill,
