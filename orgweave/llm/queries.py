@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orgweave.llm import p1_groups, p3_encoding, p5_pages, p8_p9_tokens
+from orgweave.llm import p1_groups, p3_encoding, p5_pages, p8_p9_tokens, p10_spam
 
 QUERIES = {
     "p1_found": p1_groups.p1_found,
@@ -12,5 +12,6 @@ QUERIES = {
     "p8_ids": p8_p9_tokens.p8_ids,
     "p9_packed": p8_p9_tokens.p9_packed,
     "p9_fill": p8_p9_tokens.p9_fill,
+    **p10_spam.QUERIES,
 }
 ORACLE = {"p1_found": p1_groups.P1_SQL}
