@@ -148,22 +148,26 @@ def read_website(url: str, shared: frozenset[str]) -> tuple[str, bool, str, str]
         country = slug.pop() if len(slug) > 1 and slug[-1] in _CODES else ""
         return key("".join(slug)), True, country, ""
     country = labels[0] if len(labels) > 2 and labels[0] in _CODES else ""
-    label = regex.sub(r"-(?:net|isp|group|online|web)$", "", labels[-2])
+    label = regex.sub(r"-(?:net|isp|group|online|web)$|(?<=.{8})isp$", "", labels[-2])
     return key(fold(label)), False, country, site
 
 
-def complete(cut: str, brand: list[str]) -> str:
-    """The whole key that a cut code and the words of a name make together; empty if they disagree."""
+def complete(cut: str, brand: list[str]) -> tuple[str, int]:
+    """The whole key that a cut code and the words of a name make together, and its trust; empty if they disagree.
+
+    If the words begin like the code they confirm each other; if only the
+    code's end begins one of the words, the code gives the other word.
+    """
     forms = [key(w) for w in brand]
     orders = [forms, forms[::-1]] if len(forms) == 2 else [forms]
     for words in orders:
         if "".join(words).startswith(cut):
-            return key("".join(words))
+            return key("".join(words)), CONFIRMED
     for word in forms:
         for k in range(len(word), 1, -1):
             if len(word) >= 4 and cut.endswith(word[:k]) and len(cut) - k >= 3:
-                return key(cut[:-k] + word)
-    return ""
+                return key(cut[:-k] + word), NAMED
+    return "", PARTIAL
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
