@@ -105,7 +105,7 @@ class Reading:
         self.native = native if len(native) >= 3 else ""
         plain = [w for w in words if w not in COUNTRIES and w not in LEGAL and w not in generic and w != "south"]
         self.brand = [w for w in plain if not w.isdigit() and w.isascii()][:2] if not native else []
-        self.rest = frozenset(w[:4] for w in words if w in generic and w not in LEGAL)
+        self.rest = frozenset(w[:3] for w in words if w in generic and w not in LEGAL)
 
 
 def read_name(name: str, generic: frozenset[str]) -> list[Reading]:
