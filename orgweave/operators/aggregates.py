@@ -20,7 +20,7 @@ def group_organisations(rows: DataFrame, name: str, lists: list[str]) -> DataFra
     named = rows.where(F.col(name).isNotNull())
     out = named.select(name).distinct()
     for c in lists:
-        flat = named.select(name, F.trim(F.explode(c)).alias("_v")).where("_v <> ''").distinct()
+        flat = named.select(name, F.explode(c).alias("_v")).select(name, F.trim("_v").alias("_v")).where("_v <> ''").distinct()
         out = out.join(flat.groupBy(name).agg(F.array_sort(F.collect_list("_v")).alias(c)), name, "left")
     return out.select(name, *(F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in lists))
 

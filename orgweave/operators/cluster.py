@@ -17,7 +17,7 @@ from orgweave.session import Scratch
 def node_attributes(orgs: DataFrame, relations: DataFrame) -> DataFrame:
     """``org_name, attribute``: alias names of each organisation: its answers' aliases, its own name and brand extras."""
     own = orgs.select("org_name", F.lower("org_name").alias("attribute"))
-    told = relations.select(F.col("base").alias("org_name"), F.lower(F.explode("alias_list")).alias("attribute"))
+    told = relations.select(F.col("base").alias("org_name"), F.explode("alias_list").alias("a")).select("org_name", F.lower("a").alias("attribute"))
     extra = F.array_compact(F.flatten(F.array(*(F.when(F.lower("org_name").contains(k), F.array(*map(F.lit, v))).otherwise(F.array().cast("array<string>")) for k, v in BRAND_ATTRIBUTES.items()))))
     brands = orgs.select("org_name", F.explode(extra).alias("attribute"))
     return own.unionByName(told).unionByName(brands).distinct()
@@ -38,8 +38,9 @@ def main_attributes(attributes: DataFrame, scratch: Scratch, threshold: float =
 def main_alias_groups(orgs: DataFrame, attributes: DataFrame, scratch: Scratch) -> DataFrame:
     """``org_name, alias_id``: organisations that share a main attribute, a web site's domain or another name."""
     marked = main_attributes(attributes, scratch).where("main").select("org_name", "attribute")
-    sites = orgs.select("org_name", registrable_domain(F.explode("website")).alias("attribute"))
-    names = orgs.select("org_name", F.lower(F.explode("aka")).alias("attribute")).unionByName(orgs.select("org_name", F.lower("org_name").alias("attribute")))
+    sites = orgs.select("org_name", F.explode("website").alias("w")).select("org_name", registrable_domain(F.col("w")).alias("attribute"))
+    other = orgs.select("org_name", F.explode("aka").alias("a")).select("org_name", F.lower("a").alias("attribute"))
+    names = other.unionByName(orgs.select("org_name", F.lower("org_name").alias("attribute")))
     keys = marked.unionByName(sites).unionByName(names).where("trim(attribute) <> ''")
     found = shared_attribute_families(keys, "org_name", "attribute", scratch)
     return found.select(F.col("node").alias("org_name"), F.col("component").alias("alias_id"))

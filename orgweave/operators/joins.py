@@ -19,7 +19,7 @@ def interval_join(points: DataFrame, point: str, blocks: DataFrame, low: str, hi
     level, so no block is listed more than 65 times.  Null points and ends match nothing.
     """
     span = F.greatest(F.col(high) - F.col(low), F.lit(1)).cast("double") / bin_size
-    level = F.greatest(F.lit(0), F.ceil(F.log(F.lit(16.0), span / 64))).cast("int")
+    level = F.greatest(F.lit(0), F.ceil(F.log(span / 64) / F.log(F.lit(16.0)))).cast("int")
     width = lambda lv: (F.lit(bin_size) * F.pow(F.lit(16), lv)).cast("bigint")
     leveled = blocks.where(F.col(low) <= F.col(high)).withColumn("_lv", level)
     listed = leveled.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(low) / width(F.col("_lv"))), F.floor(F.col(high) / width(F.col("_lv"))))))
