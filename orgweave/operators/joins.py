@@ -129,9 +129,9 @@ def lookup_mentions(postings: DataFrame, wanted: DataFrame, key: str, order: str
 def merge_context(target: DataFrame, base: DataFrame, pair: list[str], content: str, order: str, k: int = 10) -> DataFrame:
     """Per pair at most k distinct snippets: those of the target first, then those of the base."""
     both = target.select(*pair, content, order, F.lit(0).alias("side")).unionByName(base.select(*pair, content, order, F.lit(1).alias("side")))
-    first = both.groupBy(*pair, content).agg(F.min(F.struct("side", order)).alias("s"))
-    rank = F.row_number().over(Window.partitionBy(*pair).orderBy("s", content))
-    return first.withColumn("rank", rank).where(F.col("rank") <= k).select(*pair, content, "s.side", "rank")
+    first = both.groupBy(*pair, content).agg(F.min(F.struct("side", order)).alias("_first"))
+    rank = F.row_number().over(Window.partitionBy(*pair).orderBy("_first", content))
+    return first.withColumn("rank", rank).where(F.col("rank") <= k).select(*pair, content, "_first.side", "rank")
 
 
 def unordered(a: str, b: str) -> list:
