@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 FEATURES = 1 << 18
 #: Add-so-many smoothing of the counts, and the most that one feature may weigh.
 SMOOTHING, WEIGHT_CAP = 0.5, 4.0
+#: The most that all words of a line may weigh; words occur together, so their sum says more than they know.
+WORDS_CAP = 7.0
 #: Cost of a switch between main body and boilerplate inside a block, and at its edge.
 SWITCH_INSIDE, SWITCH_AT_EDGE = 12.0, 4.0
 
@@ -171,7 +173,8 @@ def main_lines(content: str, table: np.ndarray, org_name: str | None = None) ->
     for k in at:
         text, kind, edge = lines[k]
         said, shape = features(text, kind, own)
-        scores.append(float(table[said].sum()) / max(1.0, len(said) ** 0.5) + float(table[shape].sum()))
+        words = float(table[said].sum()) / max(1.0, len(said) ** 0.5)
+        scores.append(max(-WORDS_CAP, min(WORDS_CAP, words)) + float(table[shape].sum()))
         edges.append(edge)
     return [k for k, keep in zip(at, best_regions(scores, edges)) if keep] if at else []
 
