@@ -288,3 +288,20 @@ def repair(texts: DataFrame, column: str, model: Trained) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*found)], ["text", "restored", "chain"])
 
     return texts.select(F.col(column)).where(not_ascii(column)).mapInArrow(run, "text string, restored string, chain string")
+
+
+def quick_repair(text: str | None, depth: int = DEPTH) -> str | None:
+    """The text with garbled UTF-8 restored if that alone makes it plain; no model is asked.  Null and damaged texts stay."""
+    if not text or text.isascii() or "\ufffd" in text or is_clean(text):
+        return text
+    at = [text]
+    for _ in range(depth):
+        deeper: list[str] = []
+        for t in at:
+            for wrong in WRONG:
+                for fixed in recode(t, wrong, "utf-8"):
+                    if is_clean(fixed):
+                        return fixed
+                    deeper.append(fixed)
+        at = list(dict.fromkeys(deeper))[:20]
+    return text

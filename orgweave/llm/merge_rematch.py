@@ -9,9 +9,6 @@ merged where exactly one profile fits.  Rounds go on until nothing merges.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +39,8 @@ def evidence_of(texts: list[str], codes: list[str], sites: list[tuple[str, bool,
     what a cut code ends in, ``rest`` the generic words by which two profiles of
     one brand are told apart.
     """
-    readings = [r for t in texts for r in N.read_name(t, generic)]
+    told = [(t, N.read_name(t, generic)) for t in texts]
+    readings = [r for _, rs in told for r in rs]
     country = next((r.country for r in readings if r.country), "") or next((c for _, _, c, _ in sites if c), "")
     rest = " ".join(sorted(frozenset().union(*(r.rest for r in readings)))) if readings else ""
     out: dict[str, int] = {}
@@ -75,15 +73,15 @@ def evidence_of(texts: list[str], codes: list[str], sites: list[tuple[str, bool,
         elif len(whole) >= 5:
             longer = [b for b in (N.key("".join(b)) for b in named) if whole.startswith(b) and len(whole) - len(b) <= 6]
             add(max(longer, key=len, default=whole), N.CODE)
-    for t in texts:
-        told = N.read_name(t, generic)
-        text = " ".join(N.words_of(t))
-        if len(text) >= 8 and told and len(told[0].brand) < 2 and not told[0].native:
-            add("t:" + text, N.NAMED)
+    for t, rs in told:
+        if rs and len(rs[0].brand) < 2 and not rs[0].native:
+            text = " ".join(N.words_of(t))
+            if len(text) >= 8:
+                add("t:" + text, N.NAMED)
     for brand in named:
         add(N.key("".join(brand)), N.NAMED)
         add(N.key("".join(reversed(brand))), N.PARTIAL)
-        add(regex.sub(r"[^a-z0-9?]", "", "".join(brand)), N.PARTIAL)
+        add("".join(brand), N.PARTIAL)
     for r in readings:
         if len(r.brand) == 1:
             word = N.key(r.brand[0])
@@ -92,7 +90,7 @@ def evidence_of(texts: list[str], codes: list[str], sites: list[tuple[str, bool,
                 add(word, N.PARTIAL)
             if len(word) >= LEAST_CUT:
                 add("p:" + word, N.PARTIAL)
-            elif 3 <= len(word) <= 5 and not regex.search("[aeiou]", word):
+            elif 3 <= len(word) <= 5 and not set(word) & set("aeiou"):
                 add("i:" + word, N.PARTIAL)
     return [(k, t, country, cc, rest) for k, t in out.items()]
 
@@ -111,27 +109,13 @@ def exact_links(evidence: DataFrame) -> DataFrame:
     return keyed.select("rid", F.concat_ws("|", "key", "marker").alias("node"))
 
 
-def clusters_of(links: DataFrame, extra: DataFrame | None, records: DataFrame, scratch: Scratch) -> DataFrame:
-    """``rid, cluster`` of all records under the links to nodes and the extra links between records."""
+def clusters_of(links: DataFrame, records: DataFrame, scratch: Scratch) -> DataFrame:
+    """``rid, cluster`` of all records under their links to nodes."""
     node = F.shiftleft(F.xxhash64("node"), 1) + 1
-    edges = links.select(F.shiftleft("rid", 1).alias("u"), node.alias("v"))
-    if extra is not None:
-        edges = edges.unionByName(extra.select(F.shiftleft("a", 1).alias("u"), F.shiftleft("b", 1).alias("v")))
-    roots = grid_components(edges.unionByName(records.select(F.shiftleft("rid", 1).alias("u"), F.shiftleft("rid", 1).alias("v"))), scratch)
-    mine = roots.where(F.col("v") % 2 == 0).select(F.shiftright("v", 1).alias("rid"), F.col("root").alias("cluster"))
-    return scratch.cut(mine)
-
-
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cluster, key, ...) -> (cluster, key, ..., variant): the key and each of its forms with one letter left out."""
-    for batch in batches:
-        at, forms = [], []
-        for k, word in enumerate(batch.column(1).to_pylist()):
-            found = {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
-            at += [k] * len(found)
-            forms += sorted(found)
-        take = pa.array(at, pa.int64())
-        yield pa.RecordBatch.from_arrays([*(c.take(take) for c in batch.columns), pa.array(forms, pa.string())], [*batch.schema.names, "variant"])
+    mine = F.shiftleft("rid", 1)
+    edges = links.select(mine.alias("u"), node.alias("v")).unionByName(records.select(mine.alias("u"), mine.alias("v")))
+    roots = grid_components(edges, scratch)
+    return scratch.cut(roots.where(F.col("v") % 2 == 0).select(F.shiftright("v", 1).alias("rid"), F.col("root").alias("cluster")))
 
 
 def rematch(profile: DataFrame, open_: DataFrame) -> DataFrame:
@@ -147,58 +131,85 @@ def fits(profile: DataFrame, open_: DataFrame) -> DataFrame:
     marker, no contradicting code, and common generic words if both have any.
     """
     whole = profile.where("trust >= 1 and not key like '_:%' and length(key) >= 8").select("cluster", "key", "country", "ccs", "rest")
-    short = open_.where("key like 'p:%'").select(F.col("cluster").alias("a"), F.substring("key", 3, 64).alias("cut"), "country", F.col("cc").alias("acc"), F.col("rest").alias("arest"))
-    heads = whole.select("*", F.explode(F.expr(f"transform(sequence({LEAST_CUT}, length(key)), n -> left(key, n))")).alias("cut"))
-    by_cut = short.join(heads, ["cut", "country"]).select("a", F.col("cluster").alias("b"), F.length("cut").alias("weight"), "acc", "ccs", "arest", "rest")
-    brief = open_.where("key like 'i:%'").select(F.col("cluster").alias("a"), F.substring("key", 3, 8).alias("ini"), "country", F.col("cc").alias("acc"), F.col("rest").alias("arest"))
-    tops = whole.join(brief.select("country").distinct(), "country", "left_semi").select("*", _initials("key").alias("ini"))
-    by_initials = brief.join(tops, ["ini", "country"]).where("acc <> '' and arest <> ''").select("a", F.col("cluster").alias("b"), F.lit(1).alias("weight"), "acc", "ccs", "arest", "rest")
-    typed = open_.where("trust in (0, 1) and not key like '_:%' and length(key) >= 8").select("cluster", "key", "country", "cc", "rest")
-    forms = "cluster bigint, key string, country string, {} string, rest string, variant string"
-    left = typed.mapInArrow(_neighbours, forms.format("cc")).select(F.col("cluster").alias("a"), F.col("key").alias("akey"), "country", F.col("cc").alias("acc"), F.col("rest").alias("arest"), "variant")
-    right = whole.mapInArrow(_neighbours, forms.format("ccs"))
-    by_typo = left.join(right, ["variant", "country"]).where(F.abs(F.length("key") - F.length("akey")) <= 1)
-    by_typo = by_typo.select("a", F.col("cluster").alias("b"), F.when(F.col("akey") == F.col("key"), 60).otherwise(5).alias("weight"), "acc", "ccs", "arest", "rest")
+    mine = [F.col("cluster").alias("a"), F.col("key").alias("akey"), "country", F.col("cc").alias("acc"), F.col("rest").alias("arest")]
+    facts = ["acc", "ccs", "arest", "rest"]
+    pair = lambda df, weight: df.select("a", F.col("cluster").alias("b"), weight.alias("weight"), *facts)
+    short = open_.where("key like 'p:%'").withColumn("key", F.substring("key", 3, 64)).select(*mine)
+    heads = short.withColumn("head", F.substring("akey", 1, LEAST_CUT)), whole.withColumn("head", F.substring("key", 1, LEAST_CUT))
+    by_cut = pair(heads[0].join(heads[1], ["head", "country"]).where(F.startswith("key", "akey")), F.length("akey"))
+    brief = open_.where("key like 'i:%' and cc <> '' and rest <> ''").withColumn("key", F.substring("key", 3, 8)).select(*mine)
+    by_initials = pair(brief.join(whole.withColumn("akey", _initials("key")), ["akey", "country"]), F.lit(1))
+    typed = open_.where("trust in (0, 1) and not key like '_:%' and length(key) >= 8")
+    by_typo = typed.select(*mine, _halves("key")).join(whole.select("*", _halves("key")), ["half", "country"])
+    error = F.levenshtein("akey", "key", 2)
+    swapped = F.array_sort(F.split("akey", "")) == F.array_sort(F.split("key", ""))
+    by_typo = by_typo.where((F.abs(F.length("key") - F.length("akey")) <= 1) & (error.between(0, 1) | ((error == 2) & swapped)))
+    by_typo = pair(by_typo, F.when(F.col("akey") == F.col("key"), 60).otherwise(5))
     found = by_cut.unionByName(by_initials).unionByName(by_typo).where("a <> b")
     found = found.where("acc = '' or ccs = '' or contains(ccs, acc)")
     found = found.where("arest = '' or rest = '' or arrays_overlap(split(arest, ' '), split(rest, ' '))")
     return found.groupBy("a", "b").agg(F.max("weight").alias("weight"))
 
 
+def _halves(column: str) -> F.Column:
+    """Blocks for one typing error, which leaves a text's first or last half as it is; lengths differ by one, so there are halves of two sizes."""
+    text = F.col(column)
+    sizes = F.array_distinct(F.array(F.length(text) / 2, (F.length(text) - 1) / 2).cast("array<int>"))
+    ends = F.flatten(F.transform(sizes, lambda n: F.array(F.concat(F.lit("<"), F.left(text, n)), F.concat(F.lit(">"), F.right(text, n)))))
+    return F.explode(ends).alias("half")
+
+
 def _initials(column: str) -> F.Column:
     """``initials`` as a column."""
     found = F.regexp_extract_all(F.col(column), F.lit("([bdfgkptc]r|[bcdfghjklmnpqrstvwxyz])[aeiou]"), F.lit(1))
     return F.array_join(F.transform(found, lambda x: F.substring(x, 1, 1)), "")
 
 
-def profiles(evidence: DataFrame, clusters: DataFrame, scratch: Scratch) -> DataFrame:
-    """``cluster, key, trust, country, cc, rest, best, ccs``: the union of the members' spellings."""
+def _union(rows: DataFrame) -> DataFrame:
+    """Profiles by cluster: the union of the rows' spellings, with the profile's best trust and its codes' countries."""
     each = [F.max(c).alias(c) for c in ("trust", "country", "cc", "rest")]
-    profile = scratch.cut(evidence.join(clusters, "rid").groupBy("cluster", "key").agg(*each))
+    profile = rows.groupBy("cluster", "key").agg(*each)
     # The set holds country codes, so its size is bounded.
     codes = F.array_join(F.array_sort(F.collect_set(F.when(F.col("cc") != "", F.col("cc")))), " ")
-    facts = profile.groupBy("cluster").agg(F.max("trust").alias("best"), codes.alias("ccs"))
-    return scratch.cut(profile.join(facts, "cluster"))
+    facts = rows.groupBy("cluster").agg(F.max("trust").alias("best"), codes.alias("ccs"))
+    return profile.join(facts, "cluster")
 
 
-def resolve(evidence: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
-    """``rid, cluster`` of every record in ``evidence`` (EVIDENCE; one row per record and key).
+def profiles(evidence: DataFrame, clusters: DataFrame, scratch: Scratch) -> DataFrame:
+    """``cluster, key, trust, country, cc, rest, best, ccs``: the union of the members' spellings."""
+    placed = scratch.cut(evidence.join(clusters, "rid").drop("rid"))
+    out = scratch.cut(_union(placed))
+    scratch.drop(placed)
+    return out
+
+
+def resolve_profiles(evidence: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """(``rid, cluster`` of every record, the final profiles) for ``evidence`` (EVIDENCE).
 
+    A round only moves the profiles that merge; everything else stays as it is.
     Records without any usable key stay alone.  Empty evidence gives no rows;
     repeated rows are harmless.
     """
     evidence = scratch.cut(evidence.distinct())
-    records = evidence.select("rid").distinct()
-    links = scratch.cut(exact_links(evidence))
-    clusters, extra = clusters_of(links, None, records, scratch), None
+    clusters = clusters_of(exact_links(evidence), evidence.select("rid").distinct(), scratch)
+    profile = profiles(evidence, clusters, scratch)
     for _ in range(rounds):
-        both = profiles(evidence, clusters, scratch)
-        merged = rematch(both, both.where(F.col("best") <= N.NAMED))
-        anchors = clusters.groupBy("cluster").agg(F.min("rid").alias("anchor"))
-        new = merged.join(anchors.select(F.col("cluster").alias("a"), F.col("anchor").alias("ra")), "a").join(anchors.select(F.col("cluster").alias("b"), F.col("anchor").alias("rb")), "b")
-        new = scratch.cut(new.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-        if new.isEmpty():
+        merged = scratch.cut(rematch(profile, profile.where(F.col("best") <= N.NAMED)))
+        if merged.isEmpty():
             break
-        extra = new if extra is None else extra.unionByName(new)
-        clusters = clusters_of(links, extra, records, scratch)
-    return clusters
+        moves = grid_components(merged.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
+        moves = scratch.cut(moves.where("v <> root").select(F.col("v").alias("cluster"), F.col("root").alias("to")))
+        moved = F.coalesce("to", "cluster").alias("cluster")
+        touched = moves.select("cluster").unionByName(moves.select(F.col("to").alias("cluster"))).distinct()
+        keep = profile.join(touched, "cluster", "left_anti")
+        parts = scratch.cut(profile.join(touched, "cluster", "left_semi").join(moves, "cluster", "left").select(moved, "key", "trust", "country", "cc", "rest"))
+        last, profile = profile, scratch.cut(keep.unionByName(_union(parts).select(keep.columns)))
+        scratch.drop(last)
+        last, clusters = clusters, scratch.cut(clusters.join(moves, "cluster", "left").select("rid", moved))
+        scratch.drop(last)
+    return clusters, profile
+
+
+def resolve(evidence: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
+    """``rid, cluster`` of every record; see ``resolve_profiles``."""
+    return resolve_profiles(evidence, scratch, rounds)[0]

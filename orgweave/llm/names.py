@@ -47,34 +47,49 @@ _CJK_TAIL = regex.compile(r"(?:网络|网科|信息|信科|数据|电信|科技|
 _CJK = regex.compile(r"[\p{Han}\p{Katakana}\p{Hiragana}ー]")
 _WORD = regex.compile(r"[a-z0-9?]+")
 _ALSO = regex.compile(r"\((?:dba|d/b/a|t/a|aka)\s+([^)]*)\)|\b(?:trading as|doing business as|dba|d/b/a|t/a)\s+(.+)$", regex.I)
+_PLACE = regex.compile(r"\([^)]*\)|\s[-–—]\s[^-–—]*$")
 _CAMEL = regex.compile(r"(?<=\p{Ll})(?=\p{Lu}\p{Ll})")
 _HOST = regex.compile(r"^\s*(?:[a-z]+:/*)?(?:[^/@]*@)?([^/?#:\s]+)(?::\d+)?(/[^?#\s]*)?", regex.I)
 
 
-@functools.lru_cache(maxsize=100_000)
+_LETTERS = str.maketrans({k: v.replace("_", "") for k, v in _CYRILLIC.items()} | _EXTRA | {"\ufffd": "?"})
+_MARKS, _DAMAGE = regex.compile(r"\p{M}+"), regex.compile(r"\?{2,}")
+
+
+@functools.lru_cache(maxsize=50_000)
 def fold(text: str) -> str:
     """Lower case Latin letters without accents; Cyrillic is written in Latin; damaged characters become ``?``."""
-    out = []
-    for ch in unicodedata.normalize("NFKD", text.lower().replace("й", "j")):
-        if ch in _CYRILLIC:
-            out.append(_CYRILLIC[ch].replace("_", ""))
-        elif ch == "�":
-            out.append("?")
-        elif not unicodedata.combining(ch):
-            out.append(_EXTRA.get(ch, ch))
-    return regex.sub(r"\?+", "?", "".join(out))
+    text = text.lower()
+    if text.isascii():
+        return text
+    return _DAMAGE.sub("?", _MARKS.sub("", unicodedata.normalize("NFKD", text.translate(_LETTERS))))
+
+
+_GAP = regex.compile(r"[^a-z0-9?]+")
+_NO_KEY, _TWICE = regex.compile(r"[^a-z0-9?]"), regex.compile(r"(.)\1+")
 
 
 def key(text: str) -> str:
     """A folded brand without blanks, two-letter vowels and doubled letters, the commonest ways of typing it differently."""
-    text = regex.sub(r"[^a-z0-9?]", "", text)
-    text = text.replace("ae", "a").replace("oe", "o").replace("ue", "u")
-    return regex.sub(r"(.)\1+", r"\1", text)
+    text = _NO_KEY.sub("", text).replace("ae", "a").replace("oe", "o").replace("ue", "u")
+    return _TWICE.sub(r"\1", text) if _TWICE.search(text) else text
 
 
 def words_of(name: str) -> list[str]:
     """The folded words of a name; words written in one with inner capitals count apart."""
-    return _WORD.findall(fold(_CAMEL.sub(" ", name)))
+    return _WORD.findall(fold(name if name.islower() or name.isupper() else _CAMEL.sub(" ", name)))
+
+
+def _cut_countries() -> dict[str, str]:
+    """Beginnings of four letters or more that only one country's name has."""
+    found: dict[str, set[str]] = {}
+    for name, code in COUNTRIES.items():
+        for n in range(4, len(name)):
+            found.setdefault(name[:n], set()).add(code)
+    return {head: codes.pop() for head, codes in found.items() if len(codes) == 1}
+
+
+_CUT_COUNTRIES = _cut_countries()
 
 
 def country_of(words: list[str]) -> str:
@@ -84,9 +99,8 @@ def country_of(words: list[str]) -> str:
             return COUNTRIES[w]
     for w in words[2:]:
         if 4 <= len(w) < 8 and w not in LEGAL:
-            hits = {c for name, c in COUNTRIES.items() if len(name) > len(w) and name.startswith(w)}
-            if len(hits) == 1:
-                return hits.pop()
+            if w in _CUT_COUNTRIES:
+                return _CUT_COUNTRIES[w]
     return ""
 
 
@@ -108,17 +122,20 @@ class Reading:
         self.rest = frozenset(w[:3] for w in words if w in generic and w not in LEGAL)
 
 
+@functools.lru_cache(maxsize=60_000)
 def read_name(name: str, generic: frozenset[str]) -> list[Reading]:
     """The readings of a typed name: itself, and what it says it is also known as."""
     also = [a or b for a, b in _ALSO.findall(name)]
-    main = _ALSO.sub(" ", name)
-    main = regex.sub(r"\([^)]*\)|\s[-–—]\s[^-–—]*$", " ", main) if not _CJK.search(main) else main
+    main = _ALSO.sub(" ", name) if also else name
+    if not _CJK.search(main):
+        main = _PLACE.sub(" ", main)
     return [Reading(x, generic) for x in [main, *also] if x.strip()]
 
 
+@functools.lru_cache(maxsize=60_000)
 def read_code(code: str) -> tuple[str, bool, str]:
     """(brand key, cut short, country code) of an AS name; a country code at its end means that the brand is cut."""
-    parts = [p for p in regex.split(r"[^a-z0-9?]+", fold(code)) if p]
+    parts = [p for p in _GAP.split(fold(code)) if p]
     if parts and parts[0] == "as":
         parts = parts[1:]
     country = ""
@@ -144,7 +161,7 @@ def read_website(url: str, shared: frozenset[str]) -> tuple[str, bool, str, str]
         return "", False, "", ""
     site = ".".join(labels)
     if site in shared:
-        slug = [p for p in regex.split(r"[^a-z0-9]+", fold((m.group(2) or "").strip("/").split("/")[0])) if p]
+        slug = [p for p in _GAP.split(fold((m.group(2) or "").strip("/").split("/")[0])) if p]
         country = slug.pop() if len(slug) > 1 and slug[-1] in _CODES else ""
         return key("".join(slug)), True, country, ""
     country = labels[0] if len(labels) > 2 and labels[0] in _CODES else ""

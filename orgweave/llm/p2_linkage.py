@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orgweave.llm import names as N
-from orgweave.llm.merge_rematch import EVIDENCE, evidence_of, fits, placeholders, profiles, resolve
+from orgweave.llm.merge_rematch import EVIDENCE, evidence_of, fits, placeholders, resolve_profiles
 from orgweave.llm.soft_linkage import solve
 from orgweave.session import Scratch
 from orgweave.tables import table
@@ -53,7 +53,7 @@ def read_records(rows: DataFrame, generic: frozenset[str], shared: frozenset[str
     return rows.select("rid", "names", "sites").mapInArrow(run, EVIDENCE)
 
 
-def candidates(evidence: DataFrame, clusters: DataFrame, scratch: Scratch) -> DataFrame:
+def candidates(evidence: DataFrame, clusters: DataFrame, both: DataFrame, scratch: Scratch) -> DataFrame:
     """``a, b, ga, gb, sim``: pairs of one profile, and pairs of profiles of which one fits the other."""
     best = evidence.groupBy("rid").agg(F.max("trust").alias("best"))
     placed = scratch.cut(clusters.join(best, "rid"))
@@ -62,7 +62,6 @@ def candidates(evidence: DataFrame, clusters: DataFrame, scratch: Scratch) -> Da
     low = F.least("ta", "tb")
     alike = F.coalesce(*(F.when(low == t, F.lit(v)) for t, v in ALIKE.items()))
     same = left.join(right, F.col("ga") == F.col("gb")).select("a", "b", "ga", "gb", alike.alias("sim"))
-    both = profiles(evidence, clusters, scratch)
     near = fits(both, both.where(F.col("best") <= N.NAMED)).select(F.least("a", "b").alias("g1"), F.greatest("a", "b").alias("g2")).distinct()
     turned = near.unionByName(near.select(F.col("g2").alias("g1"), F.col("g1").alias("g2"))).withColumnsRenamed({"g1": "ga", "g2": "gb"})
     other = turned.join(left, "ga").join(right, "gb").select("a", "b", "ga", "gb", F.lit(FITTING).alias("sim"))
@@ -79,8 +78,8 @@ def matches(spark: SparkSession, folder: str) -> DataFrame:
     host = F.regexp_extract(F.lower(F.trim("site")), r"^(?:[a-z]+:/*)?(?:www\.)?([^/?#:\s]+)", 1)
     shared = frozenset(N.read_website(h + "/", frozenset())[3] for h in placeholders(sited, host, "name"))
     evidence = scratch.cut(read_records(rows, generic, shared).distinct())
-    clusters = resolve(evidence, scratch)
-    truth = solve(candidates(evidence, clusters, scratch), scratch)
+    clusters, both = resolve_profiles(evidence, scratch)
+    truth = solve(candidates(evidence, clusters, both, scratch), scratch)
     return truth.select(F.shiftright("a", 1).alias("org_key"), F.shiftright("b", 1).alias("pdb_id"), "confidence")
 
 

@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orgweave.llm import names as N
-from orgweave.llm.encoding_repair import Trained, repair
+from orgweave.llm.encoding_repair import quick_repair
 from orgweave.llm.merge_rematch import EVIDENCE, evidence_of, placeholders, resolve
 from orgweave.session import Scratch
 from orgweave.tables import table
 
 
+SALT = 16
+
+
 def read_entries(entries: DataFrame, generic: frozenset[str]) -> DataFrame:
     """Evidence (EVIDENCE) of (rid, as_name, org_name) rows; null names say nothing."""
     shared = entries.sparkSession.sparkContext.broadcast(generic)
@@ -23,6 +26,7 @@ def read_entries(entries: DataFrame, generic: frozenset[str]) -> DataFrame:
         for batch in batches:
             rows = []
             for rid, code, name in zip(*(c.to_pylist() for c in batch.columns)):
+                code, name = quick_repair(code), quick_repair(name)
                 rows += [(rid, *e) for e in evidence_of([name] if name else [], [code] if code else [], [], shared.value)]
             columns = list(zip(*rows)) if rows else [[]] * 6
             kinds = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
@@ -31,15 +35,6 @@ def read_entries(entries: DataFrame, generic: frozenset[str]) -> DataFrame:
     return entries.mapInArrow(run, EVIDENCE)
 
 
-def repaired(entries: DataFrame, columns: list[str], scratch: Scratch) -> DataFrame:
-    """The rows with wrongly decoded names restored where that is possible."""
-    texts = scratch.cut(entries.select(F.explode(F.array(*columns)).alias("text")).where("text is not null").distinct())
-    fixed = scratch.cut(repair(texts, "text", Trained(texts, "text")).where("restored is not null").select("text", "restored"))
-    for c in columns:
-        entries = entries.join(fixed.withColumnsRenamed({"text": c, "restored": "_fixed"}), c, "left").withColumn(c, F.coalesce("_fixed", c)).drop("_fixed")
-    return entries
-
-
 def name_clusters(spark: SparkSession, folder: str, scratch: Scratch) -> DataFrame:
     """``alias_id, cluster``: alias groups that name one organisation share a cluster.
 
@@ -51,8 +46,9 @@ def name_clusters(spark: SparkSession, folder: str, scratch: Scratch) -> DataFra
     named = entries.select((F.col("alias_id") * 2).alias("rid"), F.col("e.as_name").alias("as_name"), F.col("e.org_name").alias("org_name"))
     registry = table(spark, folder, "org").select("org_key", F.concat(F.array("org_name"), F.coalesce("aka", F.array())).alias("n"))
     other = registry.select((F.col("org_key") * 2 + 1).alias("rid"), F.lit(None).cast("string").alias("as_name"), F.explode("n").alias("org_name"))
-    rows = scratch.cut(named.unionByName(other).where("rid is not null").distinct())
-    rows = scratch.cut(repaired(rows, ["as_name", "org_name"], scratch).select("rid", "as_name", "org_name"))
+    # Rows of a name meet in few tasks, where it is read once; the salt splits a hot name.
+    both = named.unionByName(other).where("rid is not null").repartition(F.col("org_name"), F.pmod("rid", F.lit(SALT)))
+    rows = scratch.cut(both.distinct())
     generic = N.generic_words(rows.select("org_name").where("org_name is not null").distinct(), "org_name")
     empty = placeholders(rows, F.lower("as_name"), "org_name")
     generic |= {N.read_code(code)[0] for code in empty}
