@@ -37,6 +37,9 @@ WRONG = [*LATIN, "cp1251", "cp866", "koi8_r"]
 RIGHT = ["utf-8", "cp1251", "koi8_r", "cp866", "gb18030", "shift_jis", "euc_jp", "cp1250", "cp1252", "cp1254"]
 
 
+_MIXED = regex.compile(r"\p{Latin}\p{Cyrillic}|\p{Cyrillic}\p{Latin}")
+
+
 def _lowbyte(error: UnicodeError) -> tuple[bytes, int]:
     """Characters below 256 that an encoding lacks stand for the byte of their number."""
     part = error.object[error.start : error.end]
@@ -111,7 +114,9 @@ def recode(text: str, wrong: str, right: str) -> list[str]:
         fixed = text.encode(wrong, "lowbyte").decode(right)
     except (UnicodeEncodeError, UnicodeDecodeError):
         return []
-    return [fixed] if fixed != text else []
+    if fixed == text or (text.isupper() and not fixed.isupper()) or _MIXED.search(fixed):
+        return []  # no one writes capitals with a small letter among them, or one word in two scripts
+    return [fixed]
 
 
 @functools.lru_cache(maxsize=1)
