@@ -140,7 +140,7 @@ def fits(profile: DataFrame, open_: DataFrame) -> DataFrame:
     brief = open_.where("key like 'i:%' and cc <> '' and rest <> ''").withColumn("key", F.substring("key", 3, 8)).select(*mine)
     by_initials = pair(brief.join(whole.withColumn("akey", _initials("key")), ["akey", "country"]), F.lit(1))
     typed = open_.where("trust in (0, 1) and not key like '_:%' and length(key) >= 8")
-    by_typo = typed.select(*mine, _halves("key")).join(whole.select("*", _halves("key")), ["half", "country"])
+    by_typo = typed.select(*mine, _thirds("key")).join(whole.select("*", _thirds("key")), ["block", "country"])
     error = F.levenshtein("akey", "key", 2)
     swapped = F.array_sort(F.split("akey", "")) == F.array_sort(F.split("key", ""))
     by_typo = by_typo.where((F.abs(F.length("key") - F.length("akey")) <= 1) & (error.between(0, 1) | ((error == 2) & swapped)))
@@ -151,12 +151,19 @@ def fits(profile: DataFrame, open_: DataFrame) -> DataFrame:
     return found.groupBy("a", "b").agg(F.max("weight").alias("weight"))
 
 
-def _halves(column: str) -> F.Column:
-    """Blocks for one typing error, which leaves a text's first or last half as it is; lengths differ by one, so there are halves of two sizes."""
+def _thirds(column: str) -> F.Column:
+    """Blocks for one typing error, which leaves two thirds of a text as they are: the first, the last or the outer ones.
+
+    Lengths differ by one, so there are thirds of two sizes.
+    """
     text = F.col(column)
-    sizes = F.array_distinct(F.array(F.length(text) / 2, (F.length(text) - 1) / 2).cast("array<int>"))
-    ends = F.flatten(F.transform(sizes, lambda n: F.array(F.concat(F.lit("<"), F.left(text, n)), F.concat(F.lit(">"), F.right(text, n)))))
-    return F.explode(ends).alias("half")
+    sizes = F.array_distinct(F.array(F.length(text) / 3, (F.length(text) - 1) / 3).cast("array<int>"))
+
+    def blocks(n: F.Column) -> F.Column:
+        outer = F.concat(F.left(text, n), F.lit("|"), F.right(text, n))
+        return F.array(F.concat(F.lit("<"), F.left(text, n * 2)), F.concat(F.lit(">"), F.right(text, n * 2)), outer)
+
+    return F.explode(F.flatten(F.transform(sizes, blocks))).alias("block")
 
 
 def _initials(column: str) -> F.Column:
