@@ -1,10 +1,10 @@
 """Garbled text from wrong character encoding: detection and repair.
 
 Smoothed character n-gram models are trained on the clean records of the corpus.
-For every suspicious record each candidate chain (encode with one encoding,
-decode with another, up to several times over) gives a text; the chain whose
-text the model finds likeliest is accepted if it beats the record itself by a
-margin that was validated on clean records.
+For every record with a character above 127 each candidate chain (encode with
+one encoding, decode with another, up to several times over) gives a text; the
+chain whose text the model finds likeliest is accepted if it beats the record
+itself by a margin that was validated on clean records.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ BACKOFF = 0.4
 #: Margin in natural log units by which a repair must beat the record (see validate_margin).
 #: A chain of UTF-8 steps alone needs less, since plain text hardly ever holds valid sequences.
 MARGIN, UTF8_MARGIN = 4.0, 1.5
-#: A record is put to the chains if its likelihood per character is below that of this share of clean records.
-SUSPECT_SHARE = 0.03
+#: What a Latin capital above ASCII straight after a small letter costs: of the plain names of sf0.1 only garbled ones have one.
+CASE = 6.0
 DEPTH = 4
 
 # Encodings that texts were wrongly decoded with, and encodings they were written in.
@@ -37,6 +37,7 @@ WRONG = [*LATIN, "cp1251", "cp866", "koi8_r"]
 RIGHT = ["utf-8", "cp1251", "koi8_r", "cp866", "gb18030", "shift_jis", "euc_jp", "cp1250", "cp1252", "cp1254"]
 
 
+_INNER = regex.compile(r"(?<=\p{Ll})(?![A-Z])\p{Latin}(?<=\p{Lu})")
 _MIXED = regex.compile(r"\p{Latin}\p{Cyrillic}|\p{Cyrillic}\p{Latin}")
 
 
@@ -77,8 +78,19 @@ def high_bytes(encoding: str, folded: bool) -> dict[str, tuple[int, ...]]:
     return out
 
 
+@functools.lru_cache(maxsize=None)
+def _sequence(encoding: str, folded: bool) -> regex.Pattern:
+    """What ``repair_utf8`` may replace: nothing changes where this doesn't match."""
+    table = high_bytes(encoding, folded)
+    among = lambda low, high: "".join(regex.escape(c) for c, bs in table.items() if any(low <= b < high for b in bs))
+    tail = f"[{among(0x80, 0xC0)}]"
+    return regex.compile(f"[{among(0xC2, 0xE0)}]{tail}|[{among(0xE0, 0xF0)}]{tail}{{2}}|[{among(0xF0, 0xF5)}]{tail}{{3}}")
+
+
 def repair_utf8(text: str, encoding: str, folded: bool) -> str:
     """Replace every run that is a multi-byte UTF-8 sequence read in ``encoding``; leave everything else."""
+    if not _sequence(encoding, folded).search(text):
+        return text
     table = high_bytes(encoding, folded)
     out, k, n = [], 0, len(text)
     while k < n:
@@ -181,30 +193,39 @@ def log_likelihoods(texts: list[str], counts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(logs, starts[:-1])
 
 
-def best_chain(text: str, counts: np.ndarray, depth: int = DEPTH) -> tuple[str, float, str]:
-    """(restored text, gain over the record, chain) of the likeliest chain; gain 0 if none is likelier."""
-    at, start, path = text, float(log_likelihoods([text], counts)[0]), []
-    best = start
+def scored(texts: list[str], counts: np.ndarray) -> np.ndarray:
+    """Log likelihood of each text, which is blind to case, less the cost of a plain text's inner capitals (of others a step may be left to take)."""
+    return log_likelihoods(texts, counts) - CASE * np.array([len(_INNER.findall(t)) if _INNER.search(t) and is_clean(t) else 0 for t in texts])
+
+
+def best_chains(texts: list[str], counts: np.ndarray, depth: int = DEPTH) -> list[tuple[str, float, str]]:
+    """(restored text, gain over the record, chain) of each text's likeliest chain; gain 0 if none is likelier."""
+    at, start = list(texts), scored(texts, counts)
+    best, path = start.copy(), [[] for _ in texts]
+    going = list(range(len(texts)))
     for _ in range(depth):
-        options: dict[str, str] = {}
-        gained = False
+        options: dict[int, dict[str, str]] = {k: {} for k in going}
+        step: dict[int, tuple[str, float]] = {}
+        left = going
         for rights in (["utf-8"], [r for r in RIGHT if r != "utf-8"]):
-            for wrong in WRONG:
-                for right in rights:
-                    for fixed in recode(at, wrong, right) if wrong != right else []:
-                        options.setdefault(fixed, f"{wrong}>{right}")
-            fixed = list(options)
-            scores = log_likelihoods(fixed, counts)
-            gained = bool(fixed) and scores.max() > best + (UTF8_MARGIN if rights == ["utf-8"] else 0)
-            if gained and is_clean(fixed[int(scores.argmax())]):
-                break
-        if not gained:
-            break
-        best, at = float(scores.max()), fixed[int(scores.argmax())]
-        path.append(options[at])
-        if is_clean(at):
-            break
-    return at, best - start, " ".join(path)
+            for k in left:
+                for wrong in WRONG:
+                    for right in rights:
+                        for fixed in recode(at[k], wrong, right) if wrong != right else []:
+                            options[k].setdefault(fixed, f"{wrong}>{right}")
+            scores = iter(scored([t for k in left for t in options[k]], counts).tolist())
+            for k in left:
+                score, fixed = max(((next(scores), t) for t in options[k]), key=lambda x: x[0], default=(0.0, ""))
+                if fixed and score > best[k] + (UTF8_MARGIN if rights == ["utf-8"] else 0):
+                    step[k] = fixed, score
+                else:
+                    step.pop(k, None)
+            left = [k for k in left if k not in step or not is_clean(step[k][0])]
+        for k, (fixed, score) in step.items():
+            at[k], best[k] = fixed, score
+            path[k].append(options[k][fixed])
+        going = [k for k in step if not is_clean(at[k])]
+    return [(t, float(gain), " ".join(p)) for t, gain, p in zip(at, best - start, path)]
 
 
 def count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,24 +240,22 @@ def count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["cell", "n"])
 
 
-def per_char(texts: list[str], counts: np.ndarray) -> np.ndarray:
-    """Likelihood per character of each text."""
-    return log_likelihoods(texts, counts) / (np.array([len(t) for t in texts]) + 1)
-
-
-def judge(texts: list[str], counts: np.ndarray, level: float) -> list[tuple[bool, str | None, str]]:
+def judge(texts: list[str], counts: np.ndarray, level: float | None = None) -> list[tuple[bool, str | None, str]]:
     """(garbled, restored or None, chain) of each text.
 
     U+FFFD and C1 controls are garbled whether or not a chain restores them.
-    Only texts that aren't plain or read unlikely are put to the chains.
+    Every other text above ASCII is put to the chains, however likely it reads:
+    one wrong letter hardly lowers a long name.  ``level`` is not used any more.
     """
+    asked = [t for t in texts if "\ufffd" not in t and not t.isascii()]
+    chains = iter(best_chains(asked, counts))
     out = []
-    for text, likely in zip(texts, per_char(texts, counts)):
+    for text in texts:
         broken = "\ufffd" in text or any("\x7f" <= c <= "\x9f" for c in text)
-        if "\ufffd" in text or text.isascii() or (not broken and likely >= level and is_clean(text)):
+        if "\ufffd" in text or text.isascii():
             out.append((broken, None, ""))
             continue
-        fixed, gain, chain = best_chain(text, counts)
+        fixed, gain, chain = next(chains)
         if gain > (UTF8_MARGIN if all(step.endswith(">utf-8") for step in chain.split()) else MARGIN):
             out.append((True, fixed if is_clean(fixed) else None, chain))
         else:
@@ -245,7 +264,7 @@ def judge(texts: list[str], counts: np.ndarray, level: float) -> list[tuple[bool
 
 
 class Trained:
-    """The model of one corpus: counts, and the likelihood per character below which plain records are suspicious."""
+    """The model of one corpus: its counts."""
 
     def __init__(self, texts: DataFrame, column: str):
         slim = texts.select(F.col(column)).where(F.col(column).isNotNull())
@@ -254,20 +273,6 @@ class Trained:
         counts = np.zeros(ORDER * CELLS, np.int64)
         counts[rows["cell"].to_numpy()] = rows["n"].to_numpy()
         self.counts = np.minimum(counts, 2**31 - 1).astype(np.int32).reshape(ORDER, CELLS)
-        shared = texts.sparkSession.sparkContext.broadcast(self.counts)
-
-        def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bins = np.zeros(400, np.int64)
-            for batch in batches:
-                plain = [t for t in batch.column(0).to_pylist() if is_clean(t)]
-                if plain:
-                    np.add.at(bins, np.clip((-20 * per_char(plain, shared.value)).astype(int), 0, 399), 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(400, dtype=np.int32)), pa.array(bins)], ["bin", "n"])
-
-        bins = slim.where(not_ascii(column)).mapInArrow(histogram, "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).orderBy("bin").toPandas()
-        unlikely = bins["n"].to_numpy()[::-1].cumsum() if len(bins) else np.zeros(1)
-        keep = int((unlikely <= SUSPECT_SHARE * unlikely[-1]).sum()) if unlikely[-1] else 0
-        self.level = -(400 - keep) / 20
 
 
 def not_ascii(column: str) -> F.Column:
@@ -282,13 +287,12 @@ def repair(texts: DataFrame, column: str, model: Trained) -> DataFrame:
     texts are never garbled.  Repeated texts give a row each.
     """
     counts = texts.sparkSession.sparkContext.broadcast(model.counts)
-    level = model.level
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.column(0).slice(at, 2000).to_pylist()
-                found = [(t, fixed, chain) for t, (bad, fixed, chain) in zip(part, judge(part, counts.value, level)) if bad]
+                found = [(t, fixed, chain) for t, (bad, fixed, chain) in zip(part, judge(part, counts.value)) if bad]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*found)], ["text", "restored", "chain"])
 

@@ -113,3 +113,12 @@ def test_spam(spark, scratch):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, spam_share int")
     assert sorted(r.doc_id for r in S.find_spam(df, "doc_id", "text", "lang", scratch).collect()) == [1, 2, 3, 4]
     assert S.find_spam(df.limit(0), "doc_id", "text", "lang", scratch).count() == 0
+
+
+def test_every_name_is_put_to_the_chains(spark):
+    long = "companhia telecom redes cablevision comunicaciones internet servicios de sistemas y conexiones"
+    bad = f"{long} espaÒa"
+    rows = [(t,) for t in CLEAN * 20 + [f"{a} {b} españa" for a in CLEAN for b in CLEAN] + [f"{long} {k}" for k in range(20)] + [bad]]
+    df = spark.createDataFrame(rows, "t string").distinct()
+    got = {r.text: r.restored for r in E.repair(df, "t", E.Trained(df, "t")).collect()}
+    assert got == {bad: f"{long} españa"}
