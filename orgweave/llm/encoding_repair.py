@@ -38,6 +38,7 @@ RIGHT = ["utf-8", "cp1251", "koi8_r", "cp866", "gb18030", "shift_jis", "euc_jp",
 
 
 _INNER = regex.compile(r"(?<=\p{Ll})(?![A-Z])\p{Latin}(?<=\p{Lu})")
+_PART_CAPITALS = regex.compile(r"[A-Z]{2}\p{Ll}|\p{Ll}[A-Z]")
 _MIXED = regex.compile(r"\p{Latin}\p{Cyrillic}|\p{Cyrillic}\p{Latin}")
 
 
@@ -126,7 +127,8 @@ def recode(text: str, wrong: str, right: str) -> list[str]:
         fixed = text.encode(wrong, "lowbyte").decode(right)
     except (UnicodeEncodeError, UnicodeDecodeError):
         return []
-    if fixed == text or (text.isupper() and not fixed.isupper()) or _MIXED.search(fixed):
+    # ASCII letters keep their case in every encoding; others needn't (KOI8-R read as cp1251 inverts it).
+    if fixed == text or (text.isupper() and _PART_CAPITALS.search(fixed)) or _MIXED.search(fixed):
         return []  # no one writes capitals with a small letter among them, or one word in two scripts
     return [fixed]
 

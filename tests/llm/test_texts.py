@@ -122,3 +122,12 @@ def test_every_name_is_put_to_the_chains(spark):
     df = spark.createDataFrame(rows, "t string").distinct()
     got = {r.text: r.restored for r in E.repair(df, "t", E.Trained(df, "t")).collect()}
     assert got == {bad: f"{long} españa"}
+
+
+def test_case_may_turn_with_the_encoding(counts):
+    for wrong, right in (("cp1251", "koi8_r"), ("cp1252", "koi8_r"), ("mac_roman", "cp1251")):
+        for text in ("связь телеком интернет", "ООО связь"):
+            bad = text.encode(right).decode(wrong)
+            assert text in E.recode(bad, wrong, right), (bad, wrong, right)
+    assert not any("Oçã" in f or "COMUNICAç" in f for w in E.WRONG for r in E.RIGHT for f in E.recode("COMUNICAÇÃO", w, r))
+    assert E.judge(["УЧСЪШ ФЕМЕЛПН ЙОФЕТОЕФ"], counts)[0][:2] == (True, "связь телеком интернет")
