@@ -4,7 +4,8 @@ Records that share a trusted brand key (and national marker) are merged; a
 merged profile holds the union of its members' spellings, initials and codes.
 Profiles that could not be placed by an exact key re-enter blocking against the
 richer profiles, by cut brands, by initials and by one typing error, and are
-merged where exactly one profile fits.  Rounds go on until nothing merges.
+merged with the profile that fits best, or with all that fit equally well if
+those also fit each other.  Rounds go on until nothing merges.
 """
 
 from __future__ import annotations
@@ -118,10 +119,24 @@ def clusters_of(links: DataFrame, records: DataFrame, scratch: Scratch) -> DataF
     return scratch.cut(roots.where(F.col("v") % 2 == 0).select(F.shiftright("v", 1).alias("rid"), F.col("root").alias("cluster")))
 
 
-def rematch(profile: DataFrame, open_: DataFrame) -> DataFrame:
-    """``a, b`` clusters to merge: open profiles, each with the one other profile that fits it."""
-    one = fits(profile, open_).groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("other"))
-    return one.where("b = other").select("a", "b")
+def rematch(profile: DataFrame, open_: DataFrame, scratch: Scratch) -> DataFrame:
+    """``a, b`` clusters to merge: open profiles with the one that fits best, or with all of the best if each fits each."""
+    found = scratch.cut(fits(profile, open_))
+    most = found.groupBy("a").agg(F.max("weight").alias("weight"))
+    best = found.join(most, ["a", "weight"]).select("a", "b")
+    counted = scratch.cut(best.join(best.groupBy("a").agg(F.count("*").alias("n")), "a"))
+    several = counted.where("n > 1")
+    either = found.select(F.col("a").alias("b"), F.col("b").alias("c")).unionByName(found.select("b", F.col("a").alias("c"))).distinct()
+    # Whoever is one of n that fit each other has n neighbours at least, so few are left to be looked at in pairs.
+    degree = either.groupBy("b").agg(F.count("*").alias("degree"))
+    likely = several.join(degree, "b").groupBy("a", "n").agg(F.min("degree").alias("least")).where("least >= n").select("a")
+    several = several.join(likely, "a", "left_semi")
+    triples = several.join(either, "b").join(several.select("a", F.col("b").alias("c")), ["a", "c"], "left_semi")
+    whole = triples.groupBy("a", "n").agg(F.count("*").alias("pairs")).where("pairs = n * (n - 1)").select("a")
+    merged = scratch.cut(counted.where("n = 1").select("a", "b").unionByName(several.join(whole, "a", "left_semi").select("a", "b")))
+    scratch.drop(found)
+    scratch.drop(counted)
+    return merged
 
 
 def fits(profile: DataFrame, open_: DataFrame) -> DataFrame:
@@ -201,7 +216,7 @@ def resolve_profiles(evidence: DataFrame, scratch: Scratch, rounds: int = ROUNDS
     clusters = clusters_of(exact_links(evidence), evidence.select("rid").distinct(), scratch)
     profile = profiles(evidence, clusters, scratch)
     for _ in range(rounds):
-        merged = scratch.cut(rematch(profile, profile.where(F.col("best") <= N.NAMED)))
+        merged = rematch(profile, profile.where(F.col("best") <= N.NAMED), scratch)
         if merged.isEmpty():
             break
         moves = grid_components(merged.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)

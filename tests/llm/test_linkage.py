@@ -68,3 +68,18 @@ def test_evidence_never_fails():
     odd = ["", " ", "�", "株式会社", "a" * 5000, "()", "- ", "\x00", "İ", "the", "1 2"]
     for a, b in itertools.product(odd, odd):
         R.evidence_of([a, b], [b], [N.read_website(a, frozenset())], GENERIC)
+
+
+def groups_of(spark, scratch, records):
+    rows = [(rid, *e) for rid, (names, codes) in records.items() for e in R.evidence_of(names, codes, [], GENERIC)]
+    groups = {}
+    for r in R.resolve(spark.createDataFrame(rows, R.EVIDENCE), scratch).collect():
+        groups.setdefault(r.cluster, set()).add(r.rid)
+    return sorted(map(sorted, groups.values()))
+
+
+def test_spellings_that_fit_each_other_merge(spark, scratch):
+    # Each of the three is one typing error from both others; 11 fits two brands that don't fit each other.
+    records = {1: (["Kuspo Kilsol"], []), 2: (["Kupo Kilsol"], []), 3: (["Kuso Kilsol"], []), 9: (["Tarmin Folgar"], [])}
+    records |= {10: (["Barde Monlis"], ["BARDEMONLIS-AS"]), 11: (["Barte Monlis"], []), 12: (["Barte Molis"], ["BARTEMOLIS-AS"])}
+    assert groups_of(spark, scratch, records) == [[1, 2, 3], [9], [10], [11], [12]]
