@@ -18,7 +18,6 @@ from orgweave.llm import names as N
 from orgweave.llm.grid_components import grid_components
 from orgweave.session import Scratch
 
-ROUNDS = 6
 #: Cut brands shorter than this fit too many profiles to say anything.
 LEAST_CUT = 6
 #: A code or host that goes with this share of all names (and with so many) says nothing about whose it is.
@@ -205,17 +204,18 @@ def profiles(evidence: DataFrame, clusters: DataFrame, scratch: Scratch) -> Data
     return out
 
 
-def resolve_profiles(evidence: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+def resolve_profiles(evidence: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(``rid, cluster`` of every record, the final profiles) for ``evidence`` (EVIDENCE).
 
     A round only moves the profiles that merge; everything else stays as it is.
+    Each round but the last lowers the number of clusters, so the rounds end.
     Records without any usable key stay alone.  Empty evidence gives no rows;
     repeated rows are harmless.
     """
     evidence = scratch.cut(evidence.distinct())
     clusters = clusters_of(exact_links(evidence), evidence.select("rid").distinct(), scratch)
     profile = profiles(evidence, clusters, scratch)
-    for _ in range(rounds):
+    while True:
         merged = rematch(profile, profile.where(F.col("best") <= N.NAMED), scratch)
         if merged.isEmpty():
             break
@@ -232,6 +232,6 @@ def resolve_profiles(evidence: DataFrame, scratch: Scratch, rounds: int = ROUNDS
     return clusters, profile
 
 
-def resolve(evidence: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
+def resolve(evidence: DataFrame, scratch: Scratch) -> DataFrame:
     """``rid, cluster`` of every record; see ``resolve_profiles``."""
-    return resolve_profiles(evidence, scratch, rounds)[0]
+    return resolve_profiles(evidence, scratch)[0]

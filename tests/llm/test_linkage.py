@@ -83,3 +83,12 @@ def test_spellings_that_fit_each_other_merge(spark, scratch):
     records = {1: (["Kuspo Kilsol"], []), 2: (["Kupo Kilsol"], []), 3: (["Kuso Kilsol"], []), 9: (["Tarmin Folgar"], [])}
     records |= {10: (["Barde Monlis"], ["BARDEMONLIS-AS"]), 11: (["Barte Monlis"], []), 12: (["Barte Molis"], ["BARTEMOLIS-AS"])}
     assert groups_of(spark, scratch, records) == [[1, 2, 3], [9], [10], [11], [12]]
+
+
+def test_rounds_go_on_until_nothing_merges(spark, scratch):
+    # Each spelling is one typing error from the next alone, and a round merges only at the two ends.
+    first, last = "bcdfghjklmnpqrs", "tvwxzbcdfghjklm"
+    chain = [last[:k] + first[k:] for k in range(len(first) + 1)]
+    rows = [(k, word, N.NAMED, "", "", "") for k, word in enumerate(chain)]
+    got = R.resolve(spark.createDataFrame(rows, R.EVIDENCE), scratch).collect()
+    assert len(got) == len(chain) and len({r.cluster for r in got}) == 1
