@@ -10,6 +10,9 @@ those also fit each other.  Rounds go on until nothing merges.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -95,11 +98,33 @@ def evidence_of(texts: list[str], codes: list[str], sites: list[tuple[str, bool,
     return [(k, t, country, cc, rest) for k, t in out.items()]
 
 
-def placeholders(rows: DataFrame, value: F.Column, name: str) -> list[str]:
-    """Values that go with very many different names: placeholders, shared hosts.  At most 1 / share of them."""
+def has_part(value: str, name: str, generic: frozenset[str]) -> bool:
+    """Whether a code or host holds the first or last four letters of a brand word of the name."""
+    whole = "".join(N.words_of(value))
+    words = [w for w in N.words_of(name) if len(w) >= 4 and w not in generic and w not in N.LEGAL]
+    return any(w[:4] in whole or w[-4:] in whole for w in words)
+
+
+def placeholders(rows: DataFrame, value: F.Column, name: str, generic: frozenset[str] = frozenset()) -> list[str]:
+    """Values that go with very many different names of which they hold nothing: placeholders, shared hosts.
+
+    Spellings of one organisation hold parts of its code, however many they are.  At most 1 / share of them.
+    """
     total = rows.select(name).distinct().count()
-    counts = rows.select(value.alias("value"), F.col(name).alias("name")).where("value <> ''").distinct().groupBy("value").count()
-    return [r.value for r in counts.where(F.col("count") >= max(SHARED_LEAST, SHARED_SHARE * total)).collect()]
+    least = max(SHARED_LEAST, SHARED_SHARE * total)
+    pairs = rows.select(value.alias("value"), F.col(name).alias("name")).where("value <> ''").distinct()
+    often = [r.value for r in pairs.groupBy("value").count().where(F.col("count") >= least).collect()]
+    if not often:
+        return []
+    shared = rows.sparkSession.sparkContext.broadcast(generic)
+
+    def strangers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [v for v, n in zip(*(c.to_pylist() for c in batch.columns)) if not has_part(v, n or "", shared.value)]
+            yield pa.RecordBatch.from_arrays([pa.array(values, pa.string())], ["value"])
+
+    counts = pairs.where(F.col("value").isin(often)).mapInArrow(strangers, "value string").groupBy("value").count()
+    return [r.value for r in counts.where(F.col("count") >= least).collect()]
 
 
 def exact_links(evidence: DataFrame) -> DataFrame:

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Words in more than this share of the distinct names (and in at least so many) are generic; the list has at most 12 / share words.
 GENERIC_SHARE, GENERIC_LEAST = 0.0005, 8
+#: Of a generic word's names so many at most go with each different word it stands with: names have several spellings.
+NAMES_A_PARTNER = 4
 #: Trust in a reading: a whole code, a brand confirmed by a cut code, a brand from a name alone, a cut or partial brand.
 CODE, CONFIRMED, NAMED, PARTIAL = 3, 2, 1, 0
 
@@ -203,9 +205,45 @@ def _rows(counts: Counter[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
 
+def _cuts(word: str) -> set[str]:
+    """The word and what is left of it without one letter; two words one typing error apart have one in common."""
+    return {word, *(word[:k] + word[k + 1 :] for k in range(len(word)))}
+
+
+def partners(names: DataFrame, column: str, often: frozenset[str], least: int) -> DataFrame:
+    """``word, n``: with how many other words each of the ``often`` stands, without those and their misspellings.
+
+    Counting ends at ``least``.
+    """
+    near = {cut for w in often for cut in _cuts(w)}
+    shared = names.sparkSession.sparkContext.broadcast((often, near))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        many, typos = shared.value
+        found: dict[str, set[str]] = {w: set() for w in many}
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                words = set(words_of(name))
+                lacking = [found[w] for w in words & many if len(found[w]) < least]
+                if lacking:
+                    others = [w for w in words - many - LEGAL if typos.isdisjoint(_cuts(w))]
+                    for seen in lacking:
+                        seen.update(others)
+        pairs = [(w, o) for w, seen in found.items() for o in sorted(seen)[:least]]  # that many say enough
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.string()) for k in (0, 1)], ["word", "other"])
+
+    pairs = names.select(F.col(column)).where(F.col(column).isNotNull()).mapInArrow(run, "word string, other string")
+    return pairs.distinct().groupBy("word").agg(F.count("*").alias("n"))
+
+
 def generic_words(names: DataFrame, column: str) -> frozenset[str]:
-    """Words that a fixed share of the distinct ``names`` hold."""
+    """Words that a fixed share of the distinct ``names`` hold, and that stand with many different others.
+
+    The words of one organisation's many spellings stand with each other and with misspellings of each other alone.
+    """
     total = names.count()
     sums = names.select(F.col(column)).where(F.col(column).isNotNull()).mapInArrow(count_words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     least = max(GENERIC_LEAST, GENERIC_SHARE * total)
-    return frozenset(r.word for r in sums.where(F.col("n") >= least).collect())
+    often = frozenset(r.word for r in sums.where(F.col("n") >= least).collect())
+    most = max(GENERIC_LEAST, int(least / NAMES_A_PARTNER))
+    return frozenset(r.word for r in partners(names, column, often, most).where(F.col("n") >= most).collect())

@@ -76,7 +76,7 @@ def matches(spark: SparkSession, folder: str) -> DataFrame:
     generic = N.generic_words(named, "name")
     sited = rows.select(F.explode("sites").alias("site"), F.element_at("names", 1).alias("name"))
     host = F.regexp_extract(F.lower(F.trim("site")), r"^(?:[a-z]+:/*)?(?:www\.)?([^/?#:\s]+)", 1)
-    shared = frozenset(N.read_website(h + "/", frozenset())[3] for h in placeholders(sited, host, "name"))
+    shared = frozenset(N.read_website(h + "/", frozenset())[3] for h in placeholders(sited, host, "name", generic))
     evidence = scratch.cut(read_records(rows, generic, shared).distinct())
     clusters, both = resolve_profiles(evidence, scratch)
     truth = solve(candidates(evidence, clusters, both, scratch), scratch)

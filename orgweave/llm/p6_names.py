@@ -50,7 +50,7 @@ def name_clusters(spark: SparkSession, folder: str, scratch: Scratch) -> DataFra
     both = named.unionByName(other).where("rid is not null").repartition(F.col("org_name"), F.pmod("rid", F.lit(SALT)))
     rows = scratch.cut(both.distinct())
     generic = N.generic_words(rows.select("org_name").where("org_name is not null").distinct(), "org_name")
-    empty = placeholders(rows, F.lower("as_name"), "org_name")
+    empty = placeholders(rows, F.lower("as_name"), "org_name", generic)
     generic |= {N.read_code(code)[0] for code in empty}
     clusters = resolve(read_entries(rows, generic), scratch)
     return clusters.where(F.col("rid") % 2 == 0).select(F.shiftright("rid", 1).alias("alias_id"), "cluster")

@@ -92,3 +92,16 @@ def test_rounds_go_on_until_nothing_merges(spark, scratch):
     rows = [(k, word, N.NAMED, "", "", "") for k, word in enumerate(chain)]
     got = R.resolve(spark.createDataFrame(rows, R.EVIDENCE), scratch).collect()
     assert len(got) == len(chain) and len({r.cluster for r in got}) == 1
+
+
+def test_one_organisation_with_a_third_of_the_names(spark):
+    syllables = ["bar", "dil", "fon", "gus", "hel", "jor", "kim", "lat"]
+    brands = [f"{a}{b} {c}{a}" for a in syllables for b in syllables for c in syllables[:4]]
+    kinds = ["telecom", "cloud", "networks", "hosting"]
+    spelled = [f"{w[:k] + x + w[k + 1:]} kilsolnar {kind}" for w in ["kuspordan"] for k in range(9) for x in "aeo" for kind in kinds]
+    spelled += [f"kuspordan {w[:k] + w[k + 1:]} {kind}" for w in ["kilsolnar"] for k in range(9) for kind in kinds]
+    names = [(f"{b} {kinds[k % 4]}", "UNSPECIFIED") for k, b in enumerate(brands)] + [(n, "KUSPORDANKILSOLNAR-AS") for n in spelled]
+    df = spark.createDataFrame(names, "name string, code string").distinct()
+    generic = N.generic_words(df.select("name").distinct(), "name")
+    assert set(kinds) <= generic and not generic & {"kuspordan", "kilsolnar"}
+    assert R.placeholders(df, df["code"], "name", generic) == ["UNSPECIFIED"]
