@@ -26,6 +26,8 @@ from orgweave.llm.settings import SPLIT_PATTERN, tokenizer_file
 SEGMENT_CHARS = 200_000
 #: Unsplit stretches above this many bytes are encoded by tree concatenation.
 PIECE_BYTES = 20_000
+#: Leaves of a stretch that a task joins, and the most characters that a text can have.
+FAN, MOST_CHARS = 16, 2**31
 _PLACE = regex.compile(r"(?<=\S)(?=\s)")
 _SPLIT = regex.compile(SPLIT_PATTERN)
 
@@ -119,10 +121,15 @@ def encode_short(name: str, count_only: bool) -> Callable[[Iterator[pa.RecordBat
     return run
 
 
-def _runs(part: str, size: int) -> Iterator[list[str]]:
-    """The leaves of a segment: itself if short, else groups of whole stretches, long stretches alone and halved."""
+def _runs(part: str, size: int) -> Iterator[list[list[str]]]:
+    """The leaves of a segment, each a list of pieces that are encoded one by one.
+
+    A short segment is one leaf.  Of a longer one every piece of the splitting
+    pattern stays whole, since the pattern looks ahead and would split a group
+    of pieces otherwise; pieces above ``2 * size`` are leaves of their own.
+    """
     if len(part) <= 2 * size:
-        yield [part]
+        yield [[part]]
         return
     held: list[str] = []
     n = 0
@@ -130,54 +137,59 @@ def _runs(part: str, size: int) -> Iterator[list[str]]:
         piece = m.group()
         if len(piece) > 2 * size:
             if held:
-                yield ["".join(held)]
+                yield [held]
             held, n = [], 0
-            yield [piece[a : a + size] for a in range(0, len(piece), size)]
+            yield [[piece[a : a + size]] for a in range(0, len(piece), size)]
             continue
         held.append(piece)
         n += len(piece)
         if n >= size:
-            yield ["".join(held)]
+            yield [held]
             held, n = [], 0
     if held:
-        yield ["".join(held)]
+        yield [held]
 
 
 def cut_long(segment_chars: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(key, text) -> (key, seg, leaf, text, leaves): segments, and the leaves of those that can't be cut."""
+    """(key, sha, text) -> (key, sha, seg, leaf, pieces, leaves): segments, and the leaves of those that can't be cut.
+
+    ``leaves`` is 0 for a whole segment, which the splitting pattern cuts as ever.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds = [batch.schema.field(0).type, pa.int32(), pa.int32(), pa.string(), pa.int32()]
-            for key, text in zip(batch.column(0).to_pylist(), _texts(batch, 1)):
-                runs = (r for part in segments(text, segment_chars) for r in _runs(part, segment_chars))
-                for seg, leaves in enumerate(runs):
-                    for leaf, piece in enumerate(leaves):
-                        row = [[key], [seg], [leaf], [piece], [len(leaves)]]
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, kinds)], ["key", "seg", "leaf", "text", "leaves"])
+            kinds = [batch.schema.field(0).type, pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.int32()]
+            for key, sha, text in zip(*(c.to_pylist() for c in batch.columns)):
+                seg = -1
+                for part in segments(text, segment_chars):
+                    whole = len(part) <= 2 * segment_chars
+                    for leaves in _runs(part, segment_chars):
+                        seg += 1
+                        for leaf, held in enumerate(leaves):
+                            row = [[key], [sha], [seg], [leaf], [held], [0 if whole else len(leaves)]]
+                            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, kinds)], ["key", "sha", "seg", "leaf", "pieces", "leaves"])
 
     return run
 
 
 def encode_leaves(name: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(key, seg, leaf, text, leaves) -> (key, seg, leaf, ids); a leaf of a longer stretch is encoded without the pattern."""
+    """(key, sha, seg, leaf, pieces, leaves) -> (key, sha, seg, leaf, ids, leaves)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(name)
         for batch in batches:
             ids = [
-                encode_text(t, name) if n == 1 else tree_encode(t.encode(), pieces(name), enc.decode_bytes)
-                for t, n in zip(_texts(batch, 3), batch.column(4).to_pylist())
+                encode_text(held[0], name) if n == 0 else [i for piece in held for i in tree_encode(piece.encode(), pieces(name), enc.decode_bytes)]
+                for held, n in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())
             ]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(ids, pa.list_(pa.int32()))], ["key", "seg", "leaf", "ids"]
-            )
+            columns = [*(batch.column(k) for k in range(4)), pa.array(ids, pa.list_(pa.int32())), batch.column(5)]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "sha", "seg", "leaf", "ids", "leaves"])
 
     return run
 
 
 def join_leaves(name: str) -> Callable:
-    """All neighbouring leaves of a group -> one, joined as a tree."""
+    """Up to FAN neighbouring leaves of a stretch -> one, joined as a tree."""
 
     def run(key, group):
         import pandas as pd
@@ -188,31 +200,45 @@ def join_leaves(name: str) -> Callable:
                 join_tokens(row[k], row[k + 1], encoding(name).decode_bytes, pieces(name)) if k + 1 < len(row) else row[k]
                 for k in range(0, len(row), 2)
             ]
-        return pd.DataFrame({"key": [key[0]], "seg": [key[1]], "leaf": [key[2]], "ids": [row[0]]})
+        return pd.DataFrame({"key": [key[0]], "sha": [key[1]], "seg": [key[2]], "leaf": [key[3]], "ids": [row[0]], "leaves": [2]})
 
     return run
 
 
+def joined(coded: DataFrame, name: str, segment_chars: int, schema: str) -> DataFrame:
+    """The leaves of each stretch joined level by level, FAN neighbours a task, until the longest possible text has one."""
+    out = coded.where("leaves <= 1").select("key", "sha", "seg", "ids")
+    level, most = coded.where("leaves > 1"), -(-MOST_CHARS // segment_chars)
+    while most > 1:
+        level = level.groupBy("key", "sha", "seg", F.floor(F.col("leaf") / FAN).cast("int").alias("block")).applyInPandas(join_leaves(name), schema)
+        most = -(-most // FAN)
+    return out.unionByName(level.select("key", "sha", "seg", "ids"))
+
+
 def encode_column(df: DataFrame, key: str, text: str, name: str, count_only: bool = False, segment_chars: int = SEGMENT_CHARS) -> DataFrame:
     """``key, ids`` (or ``key, n_tokens``): every text encoded whole, without special tokens.
 
     Null and empty texts give the empty list (0 tokens).  Blank texts are
     encoded like any other, and special tokens' strings are ordinary text.
-    Repeated rows give a row each; only texts above ``segment_chars`` are taken
-    apart and put together again by key, so repeats of those give
-    one row.  Other columns aren't read; an empty table gives no rows.
+    Repeated rows give a row each, and rows that share a key theirs, at every
+    length.  Other columns aren't read; an empty table gives no rows.
+
+    Texts above ``segment_chars`` are taken apart and told from others under
+    their key by their SHA-256; repeats of one are encoded once.
     """
     slim = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = dict(slim.dtypes)["key"]
     is_long = F.coalesce(F.length("text") > segment_chars, F.lit(False))
     value = "int" if count_only else "array<int>"
     short = slim.where(~is_long).mapInArrow(encode_short(name, count_only), f"key {kind}, value {value}")
-    cut = slim.where(is_long).distinct().mapInArrow(cut_long(segment_chars), f"key {kind}, seg int, leaf int, text string, leaves int")
-    parts = f"key {kind}, seg int, leaf int, ids array<int>"
-    coded = cut.repartition(F.col("key"), F.col("seg"), F.col("leaf")).mapInArrow(encode_leaves(name), parts)
-    eighths = coded.groupBy("key", "seg", (F.col("leaf") / 8).cast("int").alias("block")).applyInPandas(join_leaves(name), parts)
-    joined = eighths.groupBy("key", "seg", F.lit(0).alias("block")).applyInPandas(join_leaves(name), parts)
+    long_rows = slim.where(is_long).select("key", F.sha2("text", 256).alias("sha"), "text")
+    cut = long_rows.mapInArrow(cut_long(segment_chars), f"key {kind}, sha string, seg int, leaf int, pieces array<string>, leaves int")
+    parts = f"key {kind}, sha string, seg int, leaf int, ids array<int>, leaves int"
+    coded = cut.dropDuplicates(["key", "sha", "seg", "leaf"]).mapInArrow(encode_leaves(name), parts)
     ordered = F.array_sort(F.collect_list(F.struct("seg", "ids")))
-    whole = joined.groupBy("key").agg(F.flatten(F.transform(ordered, lambda x: x.ids)).alias("ids"))
-    long_ = whole.select("key", (F.size("ids").cast("int") if count_only else F.col("ids")).alias("value"))
+    whole = joined(coded, name, segment_chars, parts).groupBy("key", "sha").agg(F.flatten(F.transform(ordered, lambda x: x.ids)).alias("ids"))
+    times = long_rows.groupBy("key", "sha").agg(F.count("*").alias("times")).withColumnsRenamed({"key": "k", "sha": "s"})
+    rows = whole.join(times, F.col("key").eqNullSafe(F.col("k")) & (F.col("sha") == F.col("s")))
+    rows = rows.select("key", F.size("ids").cast("int").alias("value") if count_only else F.col("ids").alias("value"), F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    long_ = rows.select("key", "value")
     return short.unionByName(long_).select(F.col("key").alias(key), F.col("value").alias("n_tokens" if count_only else "ids"))

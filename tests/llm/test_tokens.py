@@ -28,17 +28,48 @@ def test_tree_equals_whole(text, leaf):
 
 
 def test_distributed(spark):
-    texts = {1: "あいう" * 4000 + " x", 2: "ab c d " * 3000, 3: None, 4: "", 5: "データ、株式。" * 3000, 6: " ", 7: "<|endoftext|>", 8: "z" * 9000, 9: "x1" * 4000}
-    df = spark.createDataFrame([(k, t, 0) for k, t in texts.items()] + [(4, "", 0)], "doc_id long, text string, ids int")
+    texts = {1: "あいう" * 4000 + " x", 2: "ab c d " * 3000, 3: None, 4: "", 5: "データ、株式。" * 3000, 6: " ", 7: "<|endoftext|>", 8: "z" * 9000, 9: "x1" * 4000, 10: "aaa\n\n" + "z" * 2000, 11: " \n" * 900 + "z" * 9000}
+    df = spark.createDataFrame([(k, t, 0) for k, t in texts.items()] + [(4, "", 0), (9, "x1" * 4000, 0), (9, "x2" * 4000, 0)], "doc_id long, text string, ids int")
     got = bpe.encode_column(df, "doc_id", "text", NAME, segment_chars=500)
     enc = bpe.encoding(NAME)
     rows = [(r.doc_id, list(r.ids)) for r in got.collect()]
-    assert sorted(rows) == sorted([(k, enc.encode_ordinary(t) if t else []) for k, t in texts.items()] + [(4, [])])
-    n = {r.doc_id: r.n_tokens for r in bpe.encode_column(df, "doc_id", "text", NAME, count_only=True, segment_chars=500).collect()}
-    assert n == {k: len(v) for k, v in rows}
+    assert sorted(rows) == sorted([(k, enc.encode_ordinary(t) if t else []) for k, t in texts.items()] + [(4, []), (9, enc.encode_ordinary("x1" * 4000)), (9, enc.encode_ordinary("x2" * 4000))])
+    n = {(r.doc_id, r.n_tokens) for r in bpe.encode_column(df, "doc_id", "text", NAME, count_only=True, segment_chars=500).collect()}
+    assert n == {(k, len(v)) for k, v in rows}
     assert bpe.encode_column(df.limit(0), "doc_id", "text", NAME).count() == 0
 
 
+_WHITE = st.text(alphabet=st.sampled_from(" \n\t\u3000\xa0"), min_size=0, max_size=60)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(_WHITE, st.sampled_from(["z", "あい", "9", "!?", "a'sx", "x1"]), st.integers(0, 60)), max_size=5), _WHITE, st.integers(3, 12))
+def test_long_stretches_after_white_space(runs, tail, size):
+    text = "".join(white + word * n for white, word, n in runs) + tail
+    enc, ids = bpe.encoding(NAME), []
+    for part in bpe.segments(text, size):
+        for leaves in bpe._runs(part, size):
+            if len(part) <= 2 * size:
+                ids += bpe.encode_text(leaves[0][0], NAME, 8)
+            elif len(leaves) == 1:
+                ids += [i for piece in leaves[0] for i in bpe.tree_encode(piece.encode(), bpe.pieces(NAME), enc.decode_bytes, 8)]
+            else:
+                row = [bpe.tree_encode(leaf[0].encode(), bpe.pieces(NAME), enc.decode_bytes, 8) for leaf in leaves]
+                while len(row) > 1:
+                    row = [bpe.join_tokens(row[k], row[k + 1], enc.decode_bytes, bpe.pieces(NAME)) if k + 1 < len(row) else row[k] for k in range(0, len(row), 2)]
+                ids += row[0]
+    assert ids == enc.encode_ordinary(text)
+
+
+def test_long_rows_of_production_length(spark):
+    long = "aaa\n\n" + "z" * 600_000
+    texts = [(1, long), (1, long), (1, "b " * 150_000), (None, "\n" * 500_000 + "q"), (None, "short"), (2, "あ。" * 250_000)]
+    df = spark.createDataFrame([(k, t, 0) for k, t in texts], "doc_id long, text string, sha int")
+    enc = bpe.encoding(NAME)
+    got = sorted(((r.doc_id, list(r.ids)) for r in bpe.encode_column(df, "doc_id", "text", NAME).collect()), key=repr)
+    assert got == sorted(((k, enc.encode_ordinary(t)) for k, t in texts), key=repr)
+
+
 def test_patterns_and_nnls():
     p = packing.patterns(6, 3)
     assert sorted(tuple(np.repeat(np.arange(7), r.astype(int))) for r in p) == [(1, 1, 4), (1, 2, 3), (1, 5), (2, 2, 2), (2, 4), (3, 3), (6,)]
