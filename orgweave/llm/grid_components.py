@@ -21,6 +21,8 @@ from orgweave.session import Scratch
 
 #: Edges of one grid cell in a task; a task holds about 40 bytes for each.
 EDGES_PER_CELL = 2_000_000
+#: Below so many edges a cell, a task costs more than its work.
+LEAST_EDGES = 200_000
 #: Components larger than this are named through a broadcast table, which then has at most (vertices / this) rows.
 HOT_COMPONENT = 1_000_000
 
@@ -68,41 +70,47 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 100_000]), pa.array(reps[at : at + 100_000])], ["v", "rep"])
 
 
+def grid_side(edges: int, tasks: int, edges_per_cell: int) -> int:
+    """Blocks on a side of the grid: at least 2, a cell for every task, and no more edges in a cell than one task holds."""
+    side = 2
+    while side * (side + 1) // 2 < max(tasks, -(-edges // edges_per_cell)):
+        side += 1
+    return side
+
+
 def grid_components(edges: DataFrame, scratch: Scratch, edges_per_cell: int = EDGES_PER_CELL) -> DataFrame:
     """``v, root``: of every vertex of ``edges(u bigint, v bigint)`` the smallest vertex it is linked to.
 
     Repeated edges, either order and edges to oneself are harmless; edges with a
     null end are dropped; no edges, no rows.
+
+    Every level puts its edges on a grid, of two blocks a side at least; the
+    greatest vertex of a component is no representative after it, so levels end.
     """
+    tasks = scratch.spark.sparkContext.defaultParallelism
     level = scratch.cut(edges.where("u is not null and v is not null").select("u", "v"))
     parents: list[DataFrame] = []
-    while True:
-        n = level.count()
-        if n == 0 and parents:
-            break
-        cells = max(1, -(-n // edges_per_cell))
-        side = 1
-        while side * (side + 1) // 2 < cells:
-            side += 1
-        seed = F.lit(len(parents))
-        bu, bv = (F.pmod(F.xxhash64(seed, c), F.lit(side)) for c in ("u", "v"))
-        gridded = level.withColumn("cell", F.least(bu, bv) * side + F.greatest(bu, bv))
-        spread = gridded.repartition(max(1, side * (side + 1) // 2), "cell") if side > 1 else gridded.coalesce(1)
+    n = level.count()
+    while n or not parents:
+        side = grid_side(n, min(tasks, -(-n // LEAST_EDGES)), edges_per_cell)
+        bu, bv = (F.pmod(F.xxhash64(F.lit(len(parents)), c), F.lit(side)) for c in ("u", "v"))
+        # The cell (row, column) of the upper triangle, numbered along the columns; each is a partition of its own.
+        row, column = F.least(bu, bv), F.greatest(bu, bv)
+        cell = (column * (column + 1) / 2 + row).cast("int")
+        spread = level.repartitionById(side * (side + 1) // 2, cell)
         seen = spread.select("u", "v").mapInArrow(_local, "v bigint, rep bigint")
-        if side == 1:
-            parents.append(scratch.cut(seen.select("v", F.col("rep").alias("p"))))
-            break
-        # A vertex lies in at most 2 * side cells, so the set of its representatives is bounded.
+        # A vertex lies in at most ``side`` cells, so the set of its representatives is bounded.
         met = scratch.cut(seen.groupBy("v").agg(F.min("rep").alias("p"), F.collect_set("rep").alias("reps")))
         parents.append(met)
-        fresh = met.select(F.explode("reps").alias("u"), F.col("p").alias("v")).where("u <> v").distinct()
-        level = scratch.cut(fresh)
+        level = met.where("size(reps) > 1").select(F.explode("reps").alias("u"), F.col("p").alias("v")).where("u <> v").distinct()
+        n = met.agg(F.sum(F.size("reps") - 1)).first()[0] or 0  # repeats included, so at least as many as the next level has
     labels = parents.pop().select("v", F.col("p").alias("root"))
-    while parents:
-        below = parents.pop().select("v", "p")
-        above = labels.select(F.col("v").alias("p"), "root")
-        labels = scratch.cut(below.join(above, "p", "left").select("v", F.coalesce("root", "p").alias("root")))
-    return labels
+    for above, below in enumerate(reversed(parents), 1):
+        upper = labels.select(F.col("v").alias("p"), "root")
+        labels = below.select("v", "p").join(upper, "p", "left").select("v", F.coalesce("root", "p").alias("root"))
+        if above % 3 == 0:
+            labels = scratch.cut(labels)
+    return scratch.cut(labels)
 
 
 def injective_ids(names: DataFrame, column: str, tries: int = 8) -> tuple[DataFrame, int]:

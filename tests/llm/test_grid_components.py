@@ -32,6 +32,26 @@ def test_grid(spark, scratch, cell):
     assert {r.v: r.root for r in G.grid_components(df, scratch, cell).collect()} == plain(edges)
 
 
+def test_the_grid_has_two_blocks_a_side_at_least():
+    assert G.grid_side(1, 1, 2_000_000) == 2 and G.grid_side(10**9, 12, 2_000_000) * (G.grid_side(10**9, 12, 2_000_000) + 1) // 2 >= 500
+    assert G.grid_side(0, 12, 10) * (G.grid_side(0, 12, 10) + 1) // 2 >= 12
+
+
+def test_a_million_edges_settle(spark, scratch):
+    # A random graph, a path and a star of a million edges together (ten million were run by hand); the path and the star are one component each.
+    n = 400_000
+    part = lambda u, v, rows: spark.range(rows).select(u.cast("long").alias("u"), v.cast("long").alias("v"))
+    i = F.col("id")
+    random_ = part(F.pmod(F.xxhash64(i), F.lit(n)), F.pmod(F.xxhash64(i, F.lit(7)), F.lit(n)), 600_000)
+    path, star = part(i + 10_000_000, i + 10_000_001, 200_000), part(F.lit(20_000_000), i + 20_000_001, 200_000)
+    edges = scratch.cut(random_.unionByName(path).unionByName(star))
+    roots = scratch.cut(G.grid_components(edges, scratch))
+    count = lambda low, high: [tuple(r) for r in roots.where(F.col("v").between(low, high)).groupBy("root").count().collect()]
+    assert count(10_000_000, 12_000_000) == [(10_000_000, 200_001)] and count(20_000_000, 22_000_000) == [(20_000_000, 200_001)]
+    both = edges.join(roots.select(F.col("v").alias("u"), F.col("root").alias("a")), "u").join(roots.select("v", F.col("root").alias("b")), "v")
+    assert both.where("a <> b").isEmpty() and roots.where("root > v").isEmpty()
+
+
 def test_no_edges(spark, scratch):
     assert G.grid_components(spark.createDataFrame([], "u bigint, v bigint"), scratch).count() == 0
 
