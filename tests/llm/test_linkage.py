@@ -2,10 +2,12 @@
 
 import itertools
 
+import numpy as np
 import pytest
 
 from orgweave.llm import merge_rematch as R
 from orgweave.llm import names as N
+from orgweave.llm import p2_linkage as P
 from orgweave.llm import soft_linkage as L
 
 GENERIC = frozenset("telecom cloud bank hosting media networks".split())
@@ -54,16 +56,84 @@ def test_placeholders(spark):
     assert R.placeholders(df, df["code"], "name") == ["UNSPECIFIED"]
 
 
+def random_pairs(seed, nodes=14, tries=30):
+    rng = np.random.default_rng(seed)
+    a, b = rng.integers(0, nodes, (2, tries))
+    found = sorted({(int(min(x, y)), int(max(x, y))) for x, y in zip(a, b) if x != y})
+    return np.array(found).T, rng.uniform(0.3, 1, len(found))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_within_one_per_cent_of_the_optimum(seed):
+    (a, b), sim = random_pairs(seed)
+    at, weight = L.wedges(a, b)
+    y, rules = L.admm(sim, at, weight)
+    assert ((0 <= y) & (y <= 1)).all() and ((0 <= rules) & (rules <= weight)).all()
+    # The rules' multipliers give a bound that no truths can beat: the cost then falls apart into the pairs.
+    push = np.zeros(len(a) + 1)
+    for k, sign in enumerate((1, 1, -1)):
+        np.add.at(push, np.where(at[:, k] >= 0, at[:, k], len(a)), sign * rules)
+    cost = lambda z: L.SIMILARITY * sim * np.maximum(0, sim - z) + (L.NOTHING + push[:-1]) * z
+    bound = np.min([cost(np.zeros_like(sim)), cost(sim), cost(np.ones_like(sim))], axis=0).sum() - rules.sum()
+    found = L.objective(y, sim, at, weight)
+    assert bound <= found <= bound * 1.01
+    assert found < L.objective(sim, sim, at, weight)
+
+
 def test_soft_logic(spark, scratch):
-    pairs = [(1, 101, 1, 1, 1.0), (2, 102, 2, 2, 0.95), (1, 103, 1, 3, 0.55), (4, 104, 4, 4, 0.55), (5, 105, 5, 6, 0.55), (5, 107, 5, 7, 0.55)]
-    df = spark.createDataFrame(pairs, "a long, b long, ga long, gb long, sim double")
+    pairs = [(2, 101, 0.9), (4, 103, 0.55), (6, 105, 0.95), (6, 107, 0.6), (8, 109, 0.9), (8, 10, 0.9), (10, 109, 0.2), (12, 111, 0.9), (12, 113, 0.9)]
+    df = spark.createDataFrame(pairs, "a long, b long, sim double")
     y = {(r.a, r.b): r.confidence for r in L.solve(df, scratch).collect()}
-    assert y[(1, 101)] > 0.7 and y[(2, 102)] > 0.7
-    assert y[(1, 103)] < 0.5 and y[(4, 104)] >= 0.5
-    assert all(0 <= v <= 1 for v in y.values()) and y[(5, 105)] + y[(5, 107)] <= 1.1
+    assert len(y) == len(pairs) and y[(2, 101)] == pytest.approx(0.9, abs=0.01) and y[(4, 103)] == pytest.approx(0.55, abs=0.01)
+    assert y[(6, 105)] > 0.9 and y[(6, 107)] < 0.1, "of two that contradict each other the likelier one"
+    assert y[(10, 109)] > 0.7, "the ends of a chain match"
+    assert y[(12, 111)] + y[(12, 113)] <= 1.01, "two equals share"
     assert L.solve(df.limit(0), scratch).count() == 0
 
 
+def test_a_component_of_any_size_is_solved_alike(spark, scratch):
+    (a, b), sim = random_pairs(3, 5, 6)
+    df = spark.createDataFrame([(int(x), int(y), float(s)) for x, y, s in zip(a, b, sim)], "a long, b long, sim double")
+    near = {(r.a, r.b): r.confidence for r in L.solve(df, scratch).collect()}
+    spread = {(r.a, r.b): r.confidence for r in L.solve_spread(df, scratch, 0.05).collect()}
+    cost = [L.objective(np.array([y[(int(p), int(q))] for p, q in zip(a, b)]), sim, *L.wedges(a, b)) for y in (near, spread)]
+    assert near.keys() == spread.keys() and cost[1] == pytest.approx(cost[0], rel=0.1)
+
+
+def test_similarity_is_graded():
+    read = lambda names, sites=(): (lambda e: ({k: t for k, t, *_ in e}, e[0][2] if e else "", frozenset(e[0][4].split()) if e else frozenset()))(
+        R.evidence_of(names, [], [N.read_website(s, frozenset()) for s in sites], GENERIC))
+    same = P.alike(read(["Kirkres Poldan Telecom"]), read(["Kirkres Poldan Telecom"]))
+    typo = P.alike(read(["Kirkres Poldan"]), read(["Kirkres Podlan"]))
+    far = P.alike(read(["Kirkres Poldan"]), read(["Tarmin Folgar"]))
+    assert same[0] > typo[0] > 0.6 and far == (0.0, True) and not typo[1]
+    assert P.alike(read(["Kirkres Poldan Deutschland"]), read(["Kirkres Poldan"]))[1], "a subsidiary is an organisation of its own"
+    assert P.alike(read(["Kirkres Poldan Bank"]), read(["Kirkres Poldan Cloud"]))[0] < same[0]
+    sites = read(["Kirkres Poldan"], ["http://kirkrespoldan.net.example"]), read(["Kirkres Poldan"], ["www.otherwise.com.example"])
+    assert P.alike(*sites)[1] and P.alike(sites[0], sites[0])[0] == 0.99
+    assert P.alike(({}, "", frozenset()), read(["Kirkres Poldan"])) == (0.0, False), "nothing to compare is no contradiction"
+    assert [P.errors("abcd", x) for x in ("abcd", "abdc", "abc", "axcd", "abxyz", "zzzzzzz")] == [0, 1, 1, 1, 3, 3]
+
+
+def test_linkage_of_tables(spark, tmp_path):
+    org = [
+        (1, "Kirkres Poldan Telecom", None, ["http://www.kirkrespoldan.net.example/"], "ripe", 0), (1, "Kirkres Poldan Telecom", None, ["http://www.kirkrespoldan.net.example/"], "ripe", 0),
+        (2, "Kirkres Poldan Deutschland GmbH", [None, ""], [], "ripe", 0), (3, None, None, None, None, 0), (4, "", [], ["n/a", None], None, 0), (5, "カルホンニンモル株式会社", ["Karhon Ninmor Co."], None, "apnic", 0),
+    ]
+    peer = [
+        (1001, "Kirkres Podlan Telecom", None, "kirkrespoldan.net.example/en", "DE", 0), (1002, "カルホンニンモル", "", None, None, 0), (1003, "Karhon Ninmor", None, "", "JP", 0),
+        (1004, None, None, None, None, 0), (1005, "x" * 3000, "-", "http://", None, 0), (1001, "Kirkres Podlan Telecom", None, "kirkrespoldan.net.example/en", "DE", 0),
+    ]
+    kinds = "org_key long, org_name string, aka array<string>, website array<string>, rir string, confidence int", "pdb_id long, pdb_name string, aka string, website string, country string, confidence int"
+    frames = spark.createDataFrame(org, kinds[0]), spark.createDataFrame(peer, kinds[1])
+    for name, df in zip(("org", "peering_org"), frames):
+        df.write.parquet(f"{tmp_path}/a/{name}.parquet")
+        df.limit(0).write.parquet(f"{tmp_path}/b/{name}.parquet")
+    found = [tuple(r) for r in P.p2_found(spark, f"{tmp_path}/a").collect()]
+    assert sorted(found) == [(1, 1001), (5, 1002), (5, 1003)]
+    assert P.p2_found(spark, f"{tmp_path}/b").count() == 0
+
+
 def test_evidence_never_fails():
     odd = ["", " ", "�", "株式会社", "a" * 5000, "()", "- ", "\x00", "İ", "the", "1 2"]
     for a, b in itertools.product(odd, odd):
