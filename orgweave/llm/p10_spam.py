@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from orgweave.llm.spam_pages import find_spam
-from orgweave.session import Scratch
 from orgweave.tables import table
 
 
 def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """The spam documents with the share of their text that is, and how redundant they are."""
-    return find_spam(table(spark, folder, "documents"), "doc_id", "text", "lang", Scratch(spark, "p10"))
+    """The spam documents with the share of their text that is, and how redundant and how stuffed they are."""
+    return find_spam(table(spark, folder, "documents"), "doc_id", "text", "lang")
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:

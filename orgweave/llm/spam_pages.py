@@ -3,9 +3,10 @@
 Every text is cut into blocks and each block's canonical form (lower case, web
 addresses and digits alike) is compressed.  The ratio is compared with that of
 all blocks of like length and language in the corpus.  Blocks far below it are
-extremely redundant; they are confirmed if they hold hardly any sentence
-punctuation and if what repeats are phrases, tags or links and not the template
-of a listing with a fact in every line.
+extremely redundant; they are confirmed if they hold few sentences for their
+redundancy.  An exact check follows, which spares honest listings with a fact in
+every line: what repeats must be phrases, tags or links, or the block must be
+redundant beyond any listing and say nothing in numbers.
 """
 
 from __future__ import annotations
@@ -21,14 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_CHARS = 2000
-#: A block is suspicious if its log ratio is so many robust deviations below the usual one of its class.
-DEVIATIONS = 1.0
-#: Blocks with sentence marks are spam too if they are this redundant and so much of them repeats: (deviations, share).
-EXTREMES = [(3.0, 0.9), (6.0, 0.65)]
+#: A block is redundant if its log ratio is so many robust deviations below the usual one of its class.
+DEVIATIONS = 2.0
 #: Classes of a language with fewer blocks take the deviations of all languages.
 LEAST_BLOCKS = 50
-#: Sentence ends for each word that prose exceeds.
-SENTENCES_PER_WORD = 0.045
+#: Sentences for each word that prose exceeds, for a block so many deviations below; the more redundant, the more sentences confirm it.
+SENTENCES_PER_WORD, SENTENCE_DEVIATIONS = 0.045, 3.0
+#: A mark ends a sentence if so many words stand before it (two letters of Chinese or Japanese count as one).
+LEAST_SENTENCE = 5
+#: Redundant beyond any listing: so many deviations, and a smaller share of the bytes than this is what digits add to the compressed size.
+NO_LISTING, NUMBERS = 6.0, 0.02
 #: Share of a block's (and of a text's) letters in repeated phrases, tags and links that makes it spam.
 BLOCK_SHARE, TEXT_SHARE = 0.55, 0.5
 #: A phrase counts as repeated from so many times on.
@@ -40,6 +43,7 @@ _URL = regex.compile(r"(?:https?://|www\.)[^\s\])>\"'|]+", regex.I)
 _DIGITS = regex.compile(r"\d+")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}_]+")
 _END = regex.compile(r"[.!?](?=\s|$)|[。！？]")
+_CJK = regex.compile(r"[\p{Han}\p{Katakana}\p{Hiragana}ー]")
 _TAG = regex.compile(r"#[\p{L}\p{N}_]+")
 _MARKUP = regex.compile(r"</?[a-z][^>]*>|\[/?url[^\]]*\]", regex.I)
 _SPLIT = regex.compile(r"[,|/;·•\n\t、，]|\s[-–—]\s|[.!?。！？](?:\s|$)")
@@ -73,15 +77,26 @@ def canonical(block: str) -> str:
 
 def compression(block: str) -> tuple[int, float]:
     """(length class, log ratio of compressed to plain bytes) of a block's canonical form, and of its web addresses alike."""
-    data = canonical(block).encode()
     raw = max(len(block.encode()), 1)
-    return int(np.log2(raw + 1)), float(np.log((len(zlib.compress(data, 6)) + 1) / (raw + 1)))
+    return int(np.log2(raw + 1)), float(np.log((len(zlib.compress(canonical(block).encode(), 6)) + 1) / (raw + 1)))
+
+
+def numbers_share(block: str, log_ratio: float) -> float:
+    """What the block's digits add to its compressed size, as a share of its bytes."""
+    told = regex.sub(r"\s+", " ", _URL.sub("@", block)).strip().lower().encode()
+    return (len(zlib.compress(told, 6)) + 1) / (max(len(block.encode()), 1) + 1) - float(np.exp(log_ratio))
 
 
 def sentence_density(block: str) -> float:
-    """Sentence ends for each word, web addresses left out."""
-    plain = _URL.sub(" ", block)
-    return len(_END.findall(plain)) / max(1, len(_WORD.findall(plain)))
+    """Sentences for each word, web addresses left out."""
+    found = total = 0.0
+    pieces = _END.split(_URL.sub(" ", block))
+    for k, piece in enumerate(pieces):
+        words = _WORD.findall(piece)
+        n = len(words) if piece.isascii() else sum(max(1, len(_CJK.findall(w)) / 2) for w in words)
+        total += n
+        found += k < len(pieces) - 1 and n >= LEAST_SENTENCE
+    return found / max(1.0, total)
 
 
 def stuffed_share(block: str) -> float:
@@ -129,55 +144,69 @@ def stuffed_share(block: str) -> float:
     return min(1.0, listed / total)
 
 
-#: Prose never compresses below this ratio; only blocks below it, or with few sentences, are taken apart.
-PLAIN_RATIO = 0.40
+def block_ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, text) -> (lang, size_class, log_ratio) of each block."""
+    for batch in batches:
+        rows = [(language(lang), *compression(block)) for lang, text in zip(*(c.to_pylist() for c in batch.columns)) for block in blocks(text)]
+        columns = list(zip(*rows)) if rows else [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.string(), pa.int32(), pa.float64()])], ["lang", "size_class", "log_ratio"])
+
 
+Usual = dict[tuple[str, int], tuple[float, float]]
 
-def block_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, lang, text) -> (key, lang, size_class, log_ratio, sentences, share, n) of each block."""
-    for batch in batches:
-        at, rows = [], []
-        langs, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        for k, (lang, text) in enumerate(zip(langs, texts)):
-            for block in blocks(text):
-                size, ratio = compression(block)
-                density = sentence_density(block)
-                plain = density >= SENTENCES_PER_WORD and ratio > np.log(PLAIN_RATIO)
-                rows.append((language(lang), size, ratio, density, 0.0 if plain else stuffed_share(block), len(block)))
-                at.append(k)
-        columns = list(zip(*rows)) if rows else [[]] * 6
-        kinds = [pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int32()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds))],
-            ["key", "lang", "size_class", "log_ratio", "sentences", "share", "n"],
-        )
-
-
-def find_spam(documents: DataFrame, key: str, text: str, lang: str, scratch) -> DataFrame:
-    """``key, spam_share, redundancy`` of the texts that are spam, wholly or mostly.
+
+def below(usual: Usual, lang: str, size: int, ratio: float) -> float:
+    """Deviations of a block's log ratio from the usual one of its length, or of its length and language if that says less; below is negative."""
+    told = [usual[key] for key in (("", size), (lang, size)) if key in usual]
+    return min(((ratio - middle) / spread for middle, spread in told), default=0.0)
+
+
+def judge_block(block: str, z: float, ratio: float) -> tuple[bool, float]:
+    """(spam, share of its letters in repeated phrases, tags and links) of a block ``z`` deviations from the usual."""
+    if z >= -DEVIATIONS or sentence_density(block) >= SENTENCES_PER_WORD * max(1.0, -z / SENTENCE_DEVIATIONS):
+        return False, 0.0
+    share = stuffed_share(block)
+    return share >= BLOCK_SHARE or (z < -NO_LISTING and numbers_share(block, ratio) < NUMBERS), share
+
+
+def usual_ratios(slim: DataFrame) -> Usual:
+    """(language, or "" for all, and length class) -> (middle, deviation) of all blocks' log ratios; a row per language and power of two."""
+    found = slim.select("lang", "text").mapInArrow(block_ratios, "lang string, size_class int, log_ratio double")
+    # Spam lies below, so the upper side gives the deviation.
+    q = F.percentile_approx("log_ratio", [0.5, 0.84], 2000).alias("q")
+    rows = found.groupBy("size_class", "lang").agg(q, F.count("*").alias("n")).where(F.col("n") >= LEAST_BLOCKS).select("lang", "size_class", "q")
+    every = found.groupBy("size_class").agg(q).select(F.lit("").alias("lang"), "size_class", "q")
+    return {(r.lang, r.size_class): (r.q[0], max(r.q[1] - r.q[0], 0.02)) for r in rows.unionByName(every).collect()}
+
+
+def find_spam(documents: DataFrame, key: str, text: str, lang: str) -> DataFrame:
+    """``key, spam_share, redundancy, stuffed`` of the texts that are spam, wholly or mostly.
 
     Null, empty and blank texts never are.  Null and unknown languages share a
     class.  Rows that share a key are judged as one text.  Other columns aren't
-    read.  The usual ratios are taken over all blocks of the corpus; their table
-    has a row per language and power of two.
+    read.  The usual ratios are taken over all blocks of the corpus; ``stuffed``
+    is the greatest share of a spam block in repeated phrases, tags and links.
     """
     slim = documents.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("trim(text) <> ''")
-    kind = dict(slim.dtypes)["key"]
-    schema = f"key {kind}, lang string, size_class int, log_ratio double, sentences double, share double, n int"
-    found = scratch.cut(slim.mapInArrow(block_features, schema))
-    usual = F.percentile_approx("log_ratio", [0.5, 0.84], 2000).alias("q")  # spam lies below, so the upper side gives the deviation
-    every = found.groupBy("size_class").agg(usual).select("size_class", F.col("q").alias("all_q"))
-    own = found.groupBy("lang", "size_class").agg(usual, F.count("*").alias("blocks"))
-    own = own.select("lang", "size_class", F.when(F.col("blocks") >= LEAST_BLOCKS, F.col("q")).alias("own_q"))
-    classed = found.join(F.broadcast(own), ["lang", "size_class"]).join(F.broadcast(every), "size_class")
-
-    def below(q: str) -> F.Column:
-        return (F.col("log_ratio") - F.col(q)[0]) / F.greatest(F.col(q)[1] - F.col(q)[0], F.lit(0.02))
-
-    z = F.least(below("all_q"), F.coalesce(below("own_q"), below("all_q")))
-    stuffed = (F.col("z") < -DEVIATIONS) & (F.col("sentences") < SENTENCES_PER_WORD) & (F.col("share") >= BLOCK_SHARE)
-    (z1, s1), (z2, s2) = EXTREMES
-    extreme = ((F.col("z") < -z1) & (F.col("share") >= s1)) | ((F.col("z") < -z2) & (F.col("share") >= s2))
-    judged = classed.withColumn("z", z).withColumn("bad", F.when(stuffed | extreme, F.col("n")).otherwise(0))
-    total = judged.groupBy("key").agg((F.sum("bad") / F.sum("n")).alias("spam_share"), F.min("z").alias("redundancy"))
+    usual = slim.sparkSession.sparkContext.broadcast(usual_ratios(slim))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for name, content in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                bad = total = 0
+                least = most = 0.0
+                for block in blocks(content):
+                    size, ratio = compression(block)
+                    z = below(usual.value, language(name), size, ratio)
+                    spam, share = judge_block(block, z, ratio)
+                    bad, total, least = bad + len(block) * spam, total + len(block), min(least, z)
+                    most = max(most, share if spam else 0.0)
+                rows.append((bad, total, least, most))
+            columns = list(zip(*rows)) if rows else [[]] * 4
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds))], ["key", "bad", "n", "z", "stuffed"])
+
+    judged = slim.mapInArrow(run, f"key {dict(slim.dtypes)['key']}, bad bigint, n bigint, z double, stuffed double")
+    total = judged.groupBy("key").agg((F.sum("bad") / F.sum("n")).alias("spam_share"), F.min("z").alias("redundancy"), F.max("stuffed").alias("stuffed"))
     return total.where(F.col("spam_share") >= TEXT_SHARE).withColumnRenamed("key", key)

@@ -92,10 +92,10 @@ def test_soft_logic(spark, scratch):
 
 
 def test_a_component_of_any_size_is_solved_alike(spark, scratch):
-    (a, b), sim = random_pairs(3, 5, 6)
+    (a, b), sim = random_pairs(3, 5, 5)
     df = spark.createDataFrame([(int(x), int(y), float(s)) for x, y, s in zip(a, b, sim)], "a long, b long, sim double")
     near = {(r.a, r.b): r.confidence for r in L.solve(df, scratch).collect()}
-    spread = {(r.a, r.b): r.confidence for r in L.solve_spread(df, scratch, 0.05).collect()}
+    spread = {(r.a, r.b): r.confidence for r in L.solve_spread(df, scratch, 0.02).collect()}
     cost = [L.objective(np.array([y[(int(p), int(q))] for p, q in zip(a, b)]), sim, *L.wedges(a, b)) for y in (near, spread)]
     assert near.keys() == spread.keys() and cost[1] == pytest.approx(cost[0], rel=0.1)
 

@@ -98,7 +98,7 @@ def test_best_regions_is_best():
         assert value(M.best_regions(scores, edges)) == pytest.approx(best)
 
 
-def test_spam(spark, scratch):
+def test_spam(spark):
     rng = random.Random(5)
     nouns = "council bridge cable letter storm engineer market village packet invoice harbour audit".split()
     prose = lambda: " ".join(f"The {rng.choice(nouns)} {rng.choice(['moved', 'opened', 'crossed'])} the {rng.choice(nouns)} of {rng.choice(nouns)}s in {rng.randrange(1900, 2020)}." for _ in range(rng.randrange(4, 14)))
@@ -111,8 +111,19 @@ def test_spam(spark, scratch):
               12: None, 13: "", 14: "  ", 15: prose() + "\nTags: best vpn, buy router"}
     rows = [(k, t, "en", 0) for k, t in (spam | honest).items()] + [(100 + n, prose(), rng.choice(["en", "EN", None, "xx"]), 0) for n in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, spam_share int")
-    assert sorted(r.doc_id for r in S.find_spam(df, "doc_id", "text", "lang", scratch).collect()) == [1, 2, 3, 4]
-    assert S.find_spam(df.limit(0), "doc_id", "text", "lang", scratch).count() == 0
+    assert sorted(r.doc_id for r in S.find_spam(df, "doc_id", "text", "lang").collect()) == [1, 2, 3, 4]
+    assert S.find_spam(df.limit(0), "doc_id", "text", "lang").count() == 0
+
+
+def test_sentences_and_numbers():
+    assert S.sentence_density("The bridge moved to the market. It was old and very cold there.") > S.SENTENCES_PER_WORD
+    assert S.sentence_density("cheap vpn. best router. buy cheap. vpn now. " * 9) == 0.0, "marks sprinkled over keywords end no sentence"
+    assert S.sentence_density("") == 0.0 and S.sentence_density("株式会社データ通信東京大阪。") > 0
+    pile, listing = "cheap vpn best router " * 40, "\n".join(f"AS{k * 7919 % 99991} peer {k * 104729 % 9973} up" for k in range(60))
+    share = lambda b: S.numbers_share(b, S.compression(b)[1])
+    assert share(pile) < S.NUMBERS < share(listing)
+    assert S.judge_block(pile, -9.0, S.compression(pile)[1])[0] and not S.judge_block(listing, -9.0, S.compression(listing)[1])[0]
+    assert S.judge_block(pile, -1.0, 0.0) == (False, 0.0), "what isn't redundant is no spam, however it repeats"
 
 
 def test_every_name_is_put_to_the_chains(spark):
