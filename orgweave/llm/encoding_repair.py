@@ -4,13 +4,16 @@ Smoothed character n-gram models are trained on the clean records of the corpus.
 For every record with a character above 127 each candidate chain (encode with
 one encoding, decode with another, up to several times over) gives a text; the
 chain whose text the model finds likeliest is accepted if it beats the record
-itself by a margin that was validated on clean records.
+itself by a margin.  The margin is validated on all clean records: it is where
+the records that a smaller one would change by mistake, and the repairs of clean
+records garbled by known chains that a greater one would miss, are fewest.
 """
 
 from __future__ import annotations
 
 import codecs
 import functools
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,17 +22,21 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orgweave.session import Scratch
+
 #: n-gram counts are kept in this many hashed cells per order: the model's size is fixed.
 CELLS = 1 << 20
 ORDER = 3
 #: Smoothing: a count so small is given to the lower order.
 BACKOFF = 0.4
-#: Margin in natural log units by which a repair must beat the record (see validate_margin).
-#: A chain of UTF-8 steps alone needs less, since plain text hardly ever holds valid sequences.
-MARGIN, UTF8_MARGIN = 4.0, 1.5
+#: Margins are chosen among multiples of this many natural log units, up to a greatest one (see validate_margin).
+BIN, BINS = 0.25, 120
+#: Margins where no clean record above ASCII is there to validate them, of chains of UTF-8 steps alone and of others.
+DEFAULT_MARGINS = (0.25, 0.25)
 #: What a Latin capital above ASCII straight after a small letter costs: of the plain names of sf0.1 only garbled ones have one.
 CASE = 6.0
-DEPTH = 4
+#: Steps of a chain; and of all texts that a step gives, how many the next one starts from: those no further below the record than SLACK.
+DEPTH, BEAM, SLACK = 4, 4, 3.0
 
 # Encodings that texts were wrongly decoded with, and encodings they were written in.
 LATIN = ["cp1252", "latin-1", "cp1250", "cp1254", "cp437", "cp850", "cp852", "mac_roman"]
@@ -124,8 +131,15 @@ def recode(text: str, wrong: str, right: str) -> list[str]:
         fixed = {repair_utf8(text, wrong, folded) for folded in ([False, True] if wrong in LATIN else [False])}
         return sorted(fixed - {text})
     try:
-        fixed = text.encode(wrong, "lowbyte").decode(right)
-    except (UnicodeEncodeError, UnicodeDecodeError):
+        return _decoded(text, text.encode(wrong, "lowbyte"), right)
+    except UnicodeEncodeError:
+        return []
+
+
+def _decoded(text: str, data: bytes, right: str) -> list[str]:
+    try:
+        fixed = data.decode(right)
+    except UnicodeDecodeError:
         return []
     # ASCII letters keep their case in every encoding; others needn't (KOI8-R read as cp1251 inverts it).
     if fixed == text or (text.isupper() and _PART_CAPITALS.search(fixed)) or _MIXED.search(fixed):
@@ -133,6 +147,21 @@ def recode(text: str, wrong: str, right: str) -> list[str]:
     return [fixed]
 
 
+def steps(text: str) -> Iterator[tuple[str, str]]:
+    """(text, "wrong>right") of every step from a text."""
+    for wrong in WRONG:
+        for fixed in recode(text, wrong, "utf-8"):
+            yield fixed, f"{wrong}>utf-8"
+        try:
+            data = text.encode(wrong, "lowbyte")
+        except UnicodeEncodeError:
+            continue
+        for right in RIGHT:
+            if right not in ("utf-8", wrong):
+                for fixed in _decoded(text, data, right):
+                    yield fixed, f"{wrong}>{right}"
+
+
 @functools.lru_cache(maxsize=1)
 def _patterns() -> tuple[regex.Pattern, regex.Pattern]:
     """Texts of plain characters; and the start of a UTF-8 sequence read in one of the Latin encodings."""
@@ -200,34 +229,56 @@ def scored(texts: list[str], counts: np.ndarray) -> np.ndarray:
     return log_likelihoods(texts, counts) - CASE * np.array([len(_INNER.findall(t)) if _INNER.search(t) and is_clean(t) else 0 for t in texts])
 
 
-def best_chains(texts: list[str], counts: np.ndarray, depth: int = DEPTH) -> list[tuple[str, float, str]]:
-    """(restored text, gain over the record, chain) of each text's likeliest chain; gain 0 if none is likelier."""
-    at, start = list(texts), scored(texts, counts)
-    best, path = start.copy(), [[] for _ in texts]
-    going = list(range(len(texts)))
+Found = tuple[str, float, str]
+
+
+def best_chains(texts: list[str], counts: np.ndarray, depth: int = DEPTH, beam: int = BEAM, slack: float = SLACK) -> list[tuple[Found | None, Found | None]]:
+    """Of each text the likeliest (restored text, gain over the record, chain) by UTF-8 steps alone, and by any other chain.
+
+    Each step takes from the gain what it costs to name it.  Every step from every text of the beam is scored, whatever the steps before
+    it gained; the likeliest go on.  None where no chain gives a text.
+    """
+    start = scored(texts, counts)
+    best: list[list[Found | None]] = [[None, None] for _ in texts]
+    seen = [{t} for t in texts]
+    going = [(k, t, "", 0.0) for k, t in enumerate(texts)]
     for _ in range(depth):
-        options: dict[int, dict[str, str]] = {k: {} for k in going}
-        step: dict[int, tuple[str, float]] = {}
-        left = going
-        for rights in (["utf-8"], [r for r in RIGHT if r != "utf-8"]):
-            for k in left:
-                for wrong in WRONG:
-                    for right in rights:
-                        for fixed in recode(at[k], wrong, right) if wrong != right else []:
-                            options[k].setdefault(fixed, f"{wrong}>{right}")
-            scores = iter(scored([t for k in left for t in options[k]], counts).tolist())
-            for k in left:
-                score, fixed = max(((next(scores), t) for t in options[k]), key=lambda x: x[0], default=(0.0, ""))
-                if fixed and score > best[k] + (UTF8_MARGIN if rights == ["utf-8"] else 0):
-                    step[k] = fixed, score
-                else:
-                    step.pop(k, None)
-            left = [k for k in left if k not in step or not is_clean(step[k][0])]
-        for k, (fixed, score) in step.items():
-            at[k], best[k] = fixed, score
-            path[k].append(options[k][fixed])
-        going = [k for k in step if not is_clean(at[k])]
-    return [(t, float(gain), " ".join(p)) for t, gain, p in zip(at, best - start, path)]
+        made = []
+        for k, text, path, cost in going:
+            options = priced_steps(text)
+            for fixed, (step, price) in options.items():
+                if fixed not in seen[k]:
+                    seen[k].add(fixed)
+                    made.append((k, fixed, f"{path} {step}".strip(), cost + price))
+        gains = scored([m[1] for m in made], counts) - start[[m[0] for m in made]] if made else []
+        ahead: dict[int, list[tuple[float, str, str, float]]] = {}
+        for (k, fixed, path, cost), gain in zip(made, gains):
+            kind, net = 0 if only_utf8(path) else 1, float(gain) - cost
+            if best[k][kind] is None or net > best[k][kind][1]:
+                best[k][kind] = fixed, net, path
+            if gain > -slack:
+                ahead.setdefault(k, []).append((-float(gain), fixed, path, cost))
+        going = [(k, fixed, path, cost) for k, options in ahead.items() for _, fixed, path, cost in sorted(options)[:beam]]
+    return [(u, o) for u, o in best]
+
+
+def priced_steps(text: str) -> dict[str, tuple[str, float]]:
+    """Text -> (step, cost) of every text that one step gives.
+
+    A step costs the log of how many there are to choose from: any pair of
+    encodings, but of those to UTF-8 only the few that find a valid sequence.
+    """
+    found: dict[str, str] = {}
+    for fixed, step in steps(text):
+        found.setdefault(fixed, step)
+    utf8 = sum(step.endswith(">utf-8") for step in found.values())
+    costs = float(np.log(max(1, utf8))), float(np.log(len(WRONG) * (len(RIGHT) - 1)))
+    return {fixed: (step, costs[0 if step.endswith(">utf-8") else 1]) for fixed, step in found.items()}
+
+
+def only_utf8(path: str) -> bool:
+    """Whether all steps of a chain decode UTF-8: plain text hardly ever holds valid sequences, so these need a margin of their own."""
+    return all(step.endswith(">utf-8") for step in path.split())
 
 
 def count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,27 +293,62 @@ def count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["cell", "n"])
 
 
-def judge(texts: list[str], counts: np.ndarray, level: float | None = None) -> list[tuple[bool, str | None, str]]:
+def broken(text: str) -> bool:
+    """Whether a text is garbled beyond doubt: it holds U+FFFD or a C1 control."""
+    return "\ufffd" in text or any("\x7f" <= c <= "\x9f" for c in text)
+
+
+def accept(text: str, found: tuple[Found | None, Found | None], margins: tuple[float, float]) -> tuple[bool, str | None, str]:
+    """(garbled, restored or None, chain) of a text whose likeliest chains are ``found``; the one furthest above its margin counts."""
+    above = [(f[1] - m, f) for f, m in zip(found, margins) if f and f[1] > m]
+    if not above:
+        return broken(text), None, ""
+    _, (fixed, _, chain) = max(above)
+    return True, fixed if is_clean(fixed) else None, chain
+
+
+def judge(texts: list[str], counts: np.ndarray, margins: tuple[float, float] = DEFAULT_MARGINS) -> list[tuple[bool, str | None, str]]:
     """(garbled, restored or None, chain) of each text.
 
     U+FFFD and C1 controls are garbled whether or not a chain restores them.
     Every other text above ASCII is put to the chains, however likely it reads:
-    one wrong letter hardly lowers a long name.  ``level`` is not used any more.
+    one wrong letter hardly lowers a long name.
     """
-    asked = [t for t in texts if "\ufffd" not in t and not t.isascii()]
+    asked = [t for t in texts if not t.isascii() and "\ufffd" not in t]
     chains = iter(best_chains(asked, counts))
-    out = []
-    for text in texts:
-        broken = "\ufffd" in text or any("\x7f" <= c <= "\x9f" for c in text)
-        if "\ufffd" in text or text.isascii():
-            out.append((broken, None, ""))
+    return [(broken(t), None, "") if t.isascii() or "\ufffd" in t else accept(t, next(chains), margins) for t in texts]
+
+
+def planted(text: str) -> tuple[str, str] | None:
+    """A clean text garbled by a known step, chosen by the text, and the step that restores it; None if no step garbles it."""
+    pairs = [(w, r) for w in WRONG for r in RIGHT if w != r]
+    first = zlib.crc32(text.encode("utf-8", "surrogatepass")) % len(pairs)
+    for wrong, right in pairs[first:] + pairs[:first]:
+        try:
+            bad = text.encode(right).decode(wrong)
+        except (UnicodeEncodeError, UnicodeDecodeError):
             continue
-        fixed, gain, chain = next(chains)
-        if gain > (UTF8_MARGIN if all(step.endswith(">utf-8") for step in chain.split()) else MARGIN):
-            out.append((True, fixed if is_clean(fixed) else None, chain))
-        else:
-            out.append((broken, None, ""))
-    return out
+        if bad != text and not bad.isascii() and text in recode(bad, wrong, right):
+            return bad, f"{wrong}>{right}"
+    return None
+
+
+def validate_margin(changed: np.ndarray, missed: np.ndarray, garbled_share: float) -> float:
+    """The least margin of a kind of chain whose errors are within two standard errors of the fewest.
+
+    ``changed`` counts the gains of chains over clean records by BIN, the first
+    bin holding those that gain nothing, ``missed`` the gains that restoring
+    planted damage has; damage is as frequent as ``garbled_share`` of records.
+    """
+    clean, damage = changed.sum(), missed.sum()
+    if not clean or not damage:
+        return float("nan")
+    # With margin k * BIN the bins from k on are changed, and those below are missed.
+    false = changed[::-1].cumsum()[::-1] / clean
+    lost = np.concatenate([[0], missed.cumsum()[:-1]]) / damage
+    cost = (1 - garbled_share) * false[1:] + garbled_share * lost[1:]
+    error = np.sqrt(false[1:][cost.argmin()] * clean + 1) / clean
+    return float(BIN * (1 + np.flatnonzero(cost <= cost.min() + 2 * error)[0]))
 
 
 class Trained:
@@ -282,30 +368,73 @@ def not_ascii(column: str) -> F.Column:
     return F.octet_length(column) > F.char_length(column)
 
 
-def repair(texts: DataFrame, column: str, model: Trained) -> DataFrame:
+def chains_of(texts: DataFrame, column: str, model: Trained) -> DataFrame:
+    """``text, utf, other, planted, kind, clean``: the likeliest chains of every text above ASCII, and what restoring planted damage of a clean one gains."""
+    counts = texts.sparkSession.sparkContext.broadcast(model.counts)
+    found = "struct<fixed:string,gain:double,chain:string>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.struct([("fixed", pa.string()), ("gain", pa.float64()), ("chain", pa.string())])
+        named = lambda f: dict(zip(("fixed", "gain", "chain"), f)) if f else None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.column(0).slice(at, 2000).to_pylist()
+                asked = iter(best_chains([t for t in part if "\ufffd" not in t], counts.value))
+                chains = [(None, None) if "\ufffd" in t else next(asked) for t in part]
+                clean = [is_clean(t) for t in part]
+                bad = [planted(t) if c else None for t, c in zip(part, clean)]
+                cost = np.array([priced_steps(b[0])[t][1] for t, b in zip(part, bad) if b])
+                gains = iter(scored([t for t, b in zip(part, bad) if b], counts.value) - scored([b[0] for b in bad if b], counts.value) - cost)
+                columns = [
+                    pa.array(part, pa.string()), *(pa.array([named(c[k]) for c in chains], kind) for k in (0, 1)),
+                    pa.array([float(next(gains)) if b else None for b in bad], pa.float64()), pa.array([1 - only_utf8(b[1]) if b else None for b in bad], pa.int32()), pa.array(clean, pa.bool_()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["text", "utf", "other", "planted", "kind", "clean"])
+
+    return texts.select(F.col(column)).where(not_ascii(column)).mapInArrow(run, f"text string, utf {found}, other {found}, planted double, kind int, clean boolean")
+
+
+def margins_of(chains: DataFrame) -> tuple[float, float]:
+    """The validated margins of both kinds of chains over all clean texts above ASCII; what comes to the driver has at most 4 * BINS rows."""
+    binned = lambda gain: F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor(gain / BIN) + F.when(gain > 0, 1).otherwise(0))).cast("int")
+    told = lambda kind, gain, what: F.struct(F.lit(kind).alias("kind"), F.lit(what).alias("what"), binned(F.coalesce(gain, F.lit(0.0))).alias("bin"))
+    gain = F.col("planted")
+    sown = F.when(gain.isNotNull(), F.struct(F.col("kind").alias("kind"), F.lit("planted").alias("what"), binned(gain).alias("bin")))
+    rows = chains.where("clean").select(F.explode(F.array_compact(F.array(told(0, F.col("utf.gain"), "clean"), told(1, F.col("other.gain"), "clean"), sown))).alias("e"))
+    table = np.zeros((2, 2, BINS))
+    for r in rows.groupBy("e.kind", "e.what", "e.bin").count().collect():
+        table[r["kind"], 0 if r["what"] == "clean" else 1, r["bin"]] = r["count"]
+    n, clean = chains.agg(F.count("*"), F.count(F.when(F.col("clean"), 1))).first()
+    share = (n - clean) / n if n else 0.0
+    found = [validate_margin(*table[k], share) for k in (0, 1)]
+    return tuple(d if np.isnan(m) else m for m, d in zip(found, DEFAULT_MARGINS))
+
+
+def repair(texts: DataFrame, column: str, model: Trained, scratch: Scratch) -> DataFrame:
     """``text, restored, chain`` of every garbled text among the distinct ``texts``.
 
     ``restored`` is null where the original can't be had.  Null, empty and ASCII
     texts are never garbled.  Repeated texts give a row each.
     """
-    counts = texts.sparkSession.sparkContext.broadcast(model.counts)
+    chains = scratch.cut(chains_of(texts, column, model))
+    margins = margins_of(chains)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        as_found = lambda f: (f["fixed"], f["gain"], f["chain"]) if f else None
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.column(0).slice(at, 2000).to_pylist()
-                found = [(t, fixed, chain) for t, (bad, fixed, chain) in zip(part, judge(part, counts.value)) if bad]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*found)], ["text", "restored", "chain"])
+            rows = zip(*(c.to_pylist() for c in batch.columns))
+            found = [(t, fixed, chain) for t, u, o in rows for bad, fixed, chain in [accept(t, (as_found(u), as_found(o)), margins)] if bad]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*found)], ["text", "restored", "chain"])
 
-    return texts.select(F.col(column)).where(not_ascii(column)).mapInArrow(run, "text string, restored string, chain string")
+    return chains.select("text", "utf", "other").mapInArrow(run, "text string, restored string, chain string")
 
 
 def quick_repair(text: str | None, depth: int = DEPTH) -> str | None:
     """The text with garbled UTF-8 restored if that alone makes it plain; no model is asked.  Null and damaged texts stay."""
     if not text or text.isascii() or "\ufffd" in text or is_clean(text):
         return text
-    at = [text]
+    at, seen = [text], {text}
     for _ in range(depth):
         deeper: list[str] = []
         for t in at:
@@ -313,6 +442,8 @@ def quick_repair(text: str | None, depth: int = DEPTH) -> str | None:
                 for fixed in recode(t, wrong, "utf-8"):
                     if is_clean(fixed):
                         return fixed
-                    deeper.append(fixed)
-        at = list(dict.fromkeys(deeper))[:20]
+                    if fixed not in seen:
+                        seen.add(fixed)
+                        deeper.append(fixed)
+        at = deeper
     return text

@@ -33,26 +33,26 @@ def test_round_trip(counts, wrong, times):
                 bad = bad.encode("utf-8").decode(wrong)
         except UnicodeDecodeError:
             continue
-        found, restored, _ = E.judge([bad], counts, -3.0)[0]
+        found, restored, _ = E.judge([bad], counts)[0]
         assert found and restored == text, (bad, restored)
 
 
 def test_clean_stay(counts):
-    assert [bad for bad, _, _ in E.judge([*CLEAN, "plain ascii", ""], counts, -6.0)] == [False] * (len(CLEAN) + 2)
-    assert [bad for bad, fixed, _ in E.judge(["comunica��o", "s\x83o"], counts, -6.0)] == [True, True]
+    assert [bad for bad, _, _ in E.judge([*CLEAN, "plain ascii", ""], counts)] == [False] * (len(CLEAN) + 2)
+    assert [bad for bad, fixed, _ in E.judge(["comunica��o", "s\x83o"], counts)] == [True, True]
 
 
 def test_quick_repair():
     assert E.quick_repair("sÃ£o joÃ£o") == "são joão" and E.quick_repair(None) is None and E.quick_repair("são") == "são" and E.quick_repair("s�o") == "s�o"
 
 
-def test_trained_and_repair(spark):
+def test_trained_and_repair(spark, scratch):
     rows = [(t, 0) for t in CLEAN * 5] + [("sÃ£o joÃ£o comunicaÃ§Ã£o", 0), (None, 0), ("", 0)]
     df = spark.createDataFrame(rows, "t string, text int")
-    got = E.repair(df, "t", E.Trained(df, "t")).collect()
+    got = E.repair(df, "t", E.Trained(df, "t"), scratch).collect()
     assert ("sÃ£o joÃ£o comunicaÃ§Ã£o", "são joão comunicação") in {(r.text, r.restored) for r in got}
     empty = df.limit(0)
-    assert E.repair(empty, "t", E.Trained(empty, "t")).count() == 0
+    assert E.repair(empty, "t", E.Trained(empty, "t"), scratch).count() == 0
 
 
 def page(rng, style):
@@ -126,15 +126,54 @@ def test_sentences_and_numbers():
     assert S.judge_block(pile, -1.0, 0.0) == (False, 0.0), "what isn't redundant is no spam, however it repeats"
 
 
-def test_every_name_is_put_to_the_chains(spark):
+def test_every_name_is_put_to_the_chains(spark, scratch):
     long = "companhia telecom redes cablevision comunicaciones internet servicios de sistemas y conexiones"
     bad = f"{long} espaÒa"
     rows = [(t,) for t in CLEAN * 20 + [f"{a} {b} españa" for a in CLEAN for b in CLEAN] + [f"{long} {k}" for k in range(20)] + [bad]]
     df = spark.createDataFrame(rows, "t string").distinct()
-    got = {r.text: r.restored for r in E.repair(df, "t", E.Trained(df, "t")).collect()}
+    got = {r.text: r.restored for r in E.repair(df, "t", E.Trained(df, "t"), scratch).collect()}
     assert got == {bad: f"{long} españa"}
 
 
+def test_no_chain_is_lost_to_the_beam(counts):
+    bad = [t.encode("utf-8").decode("cp1252").encode("utf-8").decode("cp437") for t in CLEAN if _encodable(t)]
+    wide, kept = E.best_chains(bad, counts, depth=2, beam=10**6, slack=1e9), E.best_chains(bad, counts, depth=2)
+    best = lambda f: max((x for x in f if x), key=lambda x: x[1])[:2]
+    assert bad and [best(f) for f in kept] == [best(f) for f in wide]
+
+
+def _encodable(text):
+    try:
+        text.encode("utf-8").decode("cp1252").encode("utf-8").decode("cp437")
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def test_a_first_step_that_reads_no_better_is_followed(counts):
+    text = "comunicação são joão"
+    bad = text.encode("utf-8").decode("latin-1").encode("utf-8").decode("mac_roman")
+    assert E.judge([bad], counts)[0][:2] == (True, text)
+
+
+def test_margin_is_validated():
+    changed, missed = np.zeros(E.BINS), np.zeros(E.BINS)
+    changed[[0, 1, 5, 11]] = 9000, 40, 20, 5
+    missed[[2, 14, 30, 60]] = 10, 300, 500, 900
+    margin = E.validate_margin(changed, missed, 0.1)
+    assert 5 * E.BIN < margin <= 14 * E.BIN, "above nearly all mistakes, below nearly all damage"
+    assert E.validate_margin(changed, missed, 0.9) <= margin, "more damage asks for less"
+    assert np.isnan(E.validate_margin(np.zeros(E.BINS), missed, 0.1))
+
+
+def test_planted_damage_comes_back(counts):
+    for text in CLEAN:
+        found = E.planted(text)
+        if found:
+            wrong, right = found[1].split(">")
+            assert found[0] != text and text in E.recode(found[0], wrong, right)
+
+
 def test_case_may_turn_with_the_encoding(counts):
     for wrong, right in (("cp1251", "koi8_r"), ("cp1252", "koi8_r"), ("mac_roman", "cp1251")):
         for text in ("связь телеком интернет", "ООО связь"):
