@@ -2,15 +2,16 @@
 
 A labelled page carries semantic containers (its article, and navigation,
 sidebars and footer), which say for every line inside them whether it belongs to
-the main body.  Counts over all labelled pages give each word, word pair and
-line shape a weight: positive if it is found in main bodies, negative if not;
-markup only sets the shape.  On any page, whatever its markup, a linear scan
+the main body.  Counts over all labelled pages give each word, word pair, tag and
+line shape a weight: positive if it is found in main bodies, negative if not
+(tags are never more than neutral).  On any page, whatever its markup, a linear scan
 finds the contiguous regions with the greatest total score, where opening and
 closing a region costs something, and less where a block of the page ends.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 from collections.abc import Iterator
 
@@ -42,8 +43,8 @@ _REST = frozenset(["nav", "aside", "footer"])
 _ITEM, _HEAD, _CELL = frozenset(["li", "item"]), frozenset(["h1", "h2", "h3", "h4", "head"]), frozenset(["td", "tr", "row", "cell"])
 
 
-def read_lines(content: str) -> list[tuple[str, str, bool]]:
-    """(visible text, shape, whether a block begins here) of each line of a page, split at the line feed."""
+def read_lines(content: str) -> list[tuple[str, str, bool, str]]:
+    """(visible text, shape, whether a block begins here, tags) of each line of a page, split at the line feed."""
     out, edge = [], True
     for raw in content.split("\n"):
         tags = _TAG.findall(raw) if "<" in raw else []
@@ -61,7 +62,7 @@ def read_lines(content: str) -> list[tuple[str, str, bool]]:
             kind = "td"
         if any(n in _CONTAINER for n in names) or not text:
             edge = True
-        out.append((text, kind, edge))
+        out.append((text, kind, edge, " ".join(sorted(set(names) - _CONTAINER))))
         if text:
             edge = any(n in _CONTAINER for n in names)
     return out
@@ -94,12 +95,23 @@ def own_names(org_name: str | None) -> list[str]:
     return [x for x in dict.fromkeys([" ".join(words), " ".join(words[:2])]) if len(x) >= 3]
 
 
-def features(text: str, kind: str, own: list[str] = ()) -> tuple[list[int], list[int]]:
-    """Hashed words and word pairs, and the shape, of one line; digits are alike, and so are all pages' own names."""
-    mine = False
-    for name in own:
-        if name in text:
-            text, mine = text.replace(name, " ownname "), True
+def features(text: str, kind: str, tags: str, own: list[str] = ()) -> tuple[tuple[int, ...], ...]:
+    """Hashed words and word pairs, shape, and tags of one line; digits are alike, and so are all pages' own names.
+
+    Lines without an own name read alike on every page, and most boilerplate is such, so these are remembered.
+    """
+    held = [name for name in own if name in text]
+    return _own_features(text, kind, tags, held) if held else _features(text, kind, tags, False)
+
+
+def _own_features(text: str, kind: str, tags: str, held: list[str]) -> tuple[tuple[int, ...], ...]:
+    for name in held:
+        text = text.replace(name, " ownname ")
+    return _features.__wrapped__(text, kind, tags, True)
+
+
+@functools.lru_cache(maxsize=100_000)
+def _features(text: str, kind: str, tags: str, mine: bool) -> tuple[tuple[int, ...], ...]:
     capitals = regex.findall(r"\b\p{L}", text)
     words = [_DIGITS.sub("0", w) for w in _WORD.findall(text.lower())]
     n = len(words)
@@ -113,20 +125,24 @@ def features(text: str, kind: str, own: list[str] = ()) -> tuple[list[int], list
         found.add("date")
     if "|" in text or "·" in text:
         found.add("bars")
-    return tuple([xxhash.xxh64_intdigest(x) % FEATURES for x in sorted(part)] for part in (said, found))
+    marks = {f"g {tag}" for tag in tags.split()}
+    return tuple(tuple(xxhash.xxh64_intdigest(x) % FEATURES for x in sorted(part)) for part in (said, found, marks))
 
 
 def count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(content, org_name) -> (feature, main, rest) summed over the partition; at most one row per feature, the last two rows are line counts."""
     counts = np.zeros((2, FEATURES + 1), np.int64)
     for batch in batches:
+        held: list[list[int]] = [[], []]
         for content, org_name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             marks, own = labels(content), own_names(org_name)
             if marks:
-                for (text, kind, _), mark in zip(read_lines(content), marks):
+                for (text, kind, _, tags), mark in zip(read_lines(content), marks):
                     if mark >= 0 and text:
-                        np.add.at(counts[1 - mark], sum(features(text, kind, own), []), 1)
+                        held[1 - mark] += sum(features(text, kind, tags, own), ())
                         counts[1 - mark][FEATURES] += 1
+        for k in (0, 1):
+            counts[k][:FEATURES] += np.bincount(np.array(held[k], np.int64), minlength=FEATURES)
     at = np.flatnonzero(counts.sum(axis=0))
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[0][at]), pa.array(counts[1][at])], ["feature", "main", "rest"])
 
@@ -168,13 +184,13 @@ def main_lines(content: str, table: np.ndarray, org_name: str | None = None) ->
     """The numbers of the visible lines in the page's main body."""
     own = own_names(org_name)
     lines = read_lines(content)
-    at = [k for k, (text, _, _) in enumerate(lines) if text]
+    at = [k for k, (text, *_) in enumerate(lines) if text]
     scores, edges = [], []
     for k in at:
-        text, kind, edge = lines[k]
-        said, shape = features(text, kind, own)
-        words = float(table[said].sum()) / max(1.0, len(said) ** 0.5)
-        scores.append(max(-WORDS_CAP, min(WORDS_CAP, words)) + float(table[shape].sum()))
+        text, kind, edge, tags = lines[k]
+        said, shape, marks = features(text, kind, tags, own)
+        words = float(table[list(said)].sum()) / max(1.0, len(said) ** 0.5)
+        scores.append(max(-WORDS_CAP, min(WORDS_CAP, words)) + float(table[list(shape)].sum()) + float(np.minimum(table[list(marks)], 0).sum()))  # tags only take
         edges.append(edge)
     return [k for k, keep in zip(at, best_regions(scores, edges)) if keep] if at else []
 
@@ -208,5 +224,26 @@ def extract_main(pages: DataFrame, key: str, content: str, org_name: str, table:
             yield pa.RecordBatch.from_arrays([keys, pa.array([k for f in found for k in f], pa.int32())], ["key", "line_no"])
 
     slim = pages.select(F.col(key).alias("key"), F.col(content).alias("content"), F.col(org_name).alias("org_name"))
+    # Rows that differ in their name alone are read apart; what both find counts once.
     lines = slim.where("content <> ''").mapInArrow(run, f"key {kind}, line_no int")
     return lines.distinct().withColumnRenamed("key", key)
+
+
+def extract_bodies(pages: DataFrame, key: str, content: str, org_name: str, table: np.ndarray) -> DataFrame:
+    """``key, body``: the main body's lines as text, without markup and with entities as characters.
+
+    Pages without a main body give no row; of rows that share a key but differ the greatest body counts.
+    """
+    model = pages.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies = []
+            for page, name in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                lines = read_lines(page)
+                bodies.append("\n".join(lines[k][0] for k in main_lines(page, model.value, name)) or None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.string())], ["key", "body"])
+
+    slim = pages.select(F.col(key).alias("key"), F.col(content).alias("content"), F.col(org_name).alias("org_name")).where("content <> ''")
+    bodies = slim.mapInArrow(run, f"key {dict(pages.dtypes)[key]}, body string").where("body is not null")
+    return bodies.groupBy("key").agg(F.max("body").alias("body")).withColumnRenamed("key", key)

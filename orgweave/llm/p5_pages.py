@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from orgweave.llm import main_text
 from orgweave.tables import table
@@ -19,7 +18,5 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 def p5_bodies(spark: SparkSession, folder: str) -> DataFrame:
     """The main body of every page as text, markup removed."""
     pages = table(spark, folder, "clean_individual_html")
-    lines = p5_found(spark, folder).groupBy("page_id").agg(F.array_sort(F.collect_set("line_no")).alias("at"))
-    texts = pages.groupBy("page_id").agg(F.max("content").alias("content"))
-    cut = F.transform("at", lambda k: F.trim(F.regexp_replace(F.element_at(F.split("content", "\n"), k + 1), "<[^<>]*>", " ")))
-    return texts.join(lines, "page_id").select("page_id", F.array_join(cut, "\n").alias("body"))
+    learned = main_text.learn_weights(pages, "content", "org_name")
+    return main_text.extract_bodies(pages, "page_id", "content", "org_name", learned)

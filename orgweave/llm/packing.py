@@ -197,8 +197,10 @@ def pack(sizes: DataFrame, key: str, size: str, specs: list[tuple[int, int]], sc
     last = F.greatest(F.ceil(F.col("size") / F.col("s.cap")) - 1, F.lit(0))
     pieces = whole.select("key", "size", "s.spec_id", "s.cap", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece"))
     pieces = pieces.select("key", "spec_id", "piece", (F.col("piece") * F.col("cap")).alias("first"), F.least(F.col("cap"), F.col("size") - F.col("piece") * F.col("cap")).cast("int").alias("n"))
-    total = sizes.count()
-    buckets = max(1, -(-total // ranked_per_task))
+    # A bar may hold nearly all pieces (full ones of long items), so buckets follow the pieces of the smallest container.
+    smallest = min(c for _, c in specs)
+    total = sizes.agg(F.sum(F.greatest(F.ceil(F.col(size) / smallest), F.lit(1)))).first()[0] or 0
+    buckets = max(1, -(-int(total) // ranked_per_task))
     bucket = F.pmod(F.xxhash64("key", "piece"), F.lit(buckets)).cast("int")
     items = pieces.withColumn("bucket", bucket)
     counted = scratch.cut(items.groupBy("spec_id", "n", "bucket").count())

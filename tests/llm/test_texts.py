@@ -79,9 +79,21 @@ def test_main_text_held_out(spark):
         assert good / total >= 0.9
     rows = M.extract_main(df.unionByName(df.limit(1)), "page_id", "content", "org_name", table)
     assert rows.count() == rows.distinct().count() and rows.where("page_id >= 900").count() == 0
+    bodies = {r.page_id: r.body for r in M.extract_bodies(df.unionByName(df.limit(1)), "page_id", "content", "org_name", table).collect()}
+    assert len(bodies) == 80 and all("Acme" in b and "<" not in b for b in bodies.values())
     assert not M.learn_weights(df.limit(0), "content", "org_name").any()
 
 
+def test_tags_only_take():
+    text, kind, _, tags = M.read_lines('<li><a href="/x">Home &amp; away</a></li>')[0]
+    assert (text, kind, tags) == ("Home & away", "li", "a li")
+    table = np.zeros(M.FEATURES, np.float32)
+    _, _, marks = M.features(text, kind, tags)
+    table[list(marks)] = 3.0
+    assert M.main_lines("<p>one two</p>\n<li>three</li>", table) == []
+    assert M.features("Acme grows", "p", "", ["Acme"]) != M.features("Acme grows", "p", "") and M.features("", "p", "")[2] == ()
+
+
 def test_best_regions_is_best():
     rng = random.Random(1)
     for _ in range(40):
