@@ -37,6 +37,8 @@ DEFAULT_MARGINS = (0.25, 0.25)
 CASE = 6.0
 #: Steps of a chain; and of all texts that a step gives, how many the next one starts from: those no further below the record than SLACK.
 DEPTH, BEAM, SLACK = 4, 4, 3.0
+#: Texts that a task puts to the chains; they are few, but each costs about a millisecond.
+TEXTS_PER_TASK = 20_000
 
 # Encodings that texts were wrongly decoded with, and encodings they were written in.
 LATIN = ["cp1252", "latin-1", "cp1250", "cp1254", "cp437", "cp850", "cp852", "mac_roman"]
@@ -44,6 +46,9 @@ WRONG = [*LATIN, "cp1251", "cp866", "koi8_r"]
 RIGHT = ["utf-8", "cp1251", "koi8_r", "cp866", "gb18030", "shift_jis", "euc_jp", "cp1250", "cp1252", "cp1254"]
 
 
+#: What a step to another encoding than UTF-8 costs: the log of the number of pairs.
+OTHER_COST = float(np.log(len(WRONG) * (len(RIGHT) - 1)))
+_PAIR = regex.compile(r"[^\x00-\x7f]{2}")
 _INNER = regex.compile(r"(?<=\p{Ll})(?![A-Z])\p{Latin}(?<=\p{Lu})")
 _PART_CAPITALS = regex.compile(r"[A-Z]{2}\p{Ll}|\p{Ll}[A-Z]")
 _MIXED = regex.compile(r"\p{Latin}\p{Cyrillic}|\p{Cyrillic}\p{Latin}")
@@ -131,35 +136,47 @@ def recode(text: str, wrong: str, right: str) -> list[str]:
         fixed = {repair_utf8(text, wrong, folded) for folded in ([False, True] if wrong in LATIN else [False])}
         return sorted(fixed - {text})
     try:
-        return _decoded(text, text.encode(wrong, "lowbyte"), right)
-    except UnicodeEncodeError:
+        fixed = text.encode(wrong, "lowbyte").decode(right)
+    except (UnicodeEncodeError, UnicodeDecodeError):
         return []
+    return [fixed] if _plausible(text, fixed) else []
 
 
-def _decoded(text: str, data: bytes, right: str) -> list[str]:
-    try:
-        fixed = data.decode(right)
-    except UnicodeDecodeError:
-        return []
-    # ASCII letters keep their case in every encoding; others needn't (KOI8-R read as cp1251 inverts it).
-    if fixed == text or (text.isupper() and _PART_CAPITALS.search(fixed)) or _MIXED.search(fixed):
-        return []  # no one writes capitals with a small letter among them, or one word in two scripts
-    return [fixed]
+def _plausible(text: str, fixed: str) -> bool:
+    """Whether a text is another and may be written so: no one writes capitals with a small letter among them, or one word in two scripts.
+
+    ASCII letters keep their case in every encoding; others needn't (KOI8-R read as cp1251 inverts it).
+    """
+    return not (fixed == text or (text.isupper() and _PART_CAPITALS.search(fixed)) or _MIXED.search(fixed))
+
 
+def utf8_steps(text: str) -> dict[str, str]:
+    """Text -> step of every text that a step to UTF-8 gives; a sequence has two characters above ASCII at least."""
+    found: dict[str, str] = {}
+    if _PAIR.search(text):
+        for wrong in WRONG:
+            for fixed in recode(text, wrong, "utf-8"):
+                found.setdefault(fixed, f"{wrong}>utf-8")
+    return found
 
-def steps(text: str) -> Iterator[tuple[str, str]]:
-    """(text, "wrong>right") of every step from a text."""
+
+def other_steps(text: str) -> dict[str, str]:
+    """Text -> step of every text that a step to another encoding gives; encodings that write a text alike are read once."""
+    bytes_of: dict[bytes, str] = {}
     for wrong in WRONG:
-        for fixed in recode(text, wrong, "utf-8"):
-            yield fixed, f"{wrong}>utf-8"
         try:
-            data = text.encode(wrong, "lowbyte")
+            bytes_of.setdefault(text.encode(wrong, "lowbyte"), wrong)
         except UnicodeEncodeError:
             continue
+    made: dict[str, str] = {}
+    for data, wrong in bytes_of.items():
         for right in RIGHT:
-            if right not in ("utf-8", wrong):
-                for fixed in _decoded(text, data, right):
-                    yield fixed, f"{wrong}>{right}"
+            if right != "utf-8":
+                try:
+                    made.setdefault(data.decode(right), f"{wrong}>{right}")
+                except UnicodeDecodeError:
+                    continue
+    return {fixed: step for fixed, step in made.items() if _plausible(text, fixed)}
 
 
 @functools.lru_cache(maxsize=1)
@@ -268,12 +285,9 @@ def priced_steps(text: str) -> dict[str, tuple[str, float]]:
     A step costs the log of how many there are to choose from: any pair of
     encodings, but of those to UTF-8 only the few that find a valid sequence.
     """
-    found: dict[str, str] = {}
-    for fixed, step in steps(text):
-        found.setdefault(fixed, step)
-    utf8 = sum(step.endswith(">utf-8") for step in found.values())
-    costs = float(np.log(max(1, utf8))), float(np.log(len(WRONG) * (len(RIGHT) - 1)))
-    return {fixed: (step, costs[0 if step.endswith(">utf-8") else 1]) for fixed, step in found.items()}
+    utf8 = utf8_steps(text)
+    found = {fixed: (step, OTHER_COST) for fixed, step in other_steps(text).items() if fixed not in utf8}
+    return found | {fixed: (step, float(np.log(len(utf8)))) for fixed, step in utf8.items()}
 
 
 def only_utf8(path: str) -> bool:
@@ -383,7 +397,7 @@ def chains_of(texts: DataFrame, column: str, model: Trained) -> DataFrame:
                 chains = [(None, None) if "\ufffd" in t else next(asked) for t in part]
                 clean = [is_clean(t) for t in part]
                 bad = [planted(t) if c else None for t, c in zip(part, clean)]
-                cost = np.array([priced_steps(b[0])[t][1] for t, b in zip(part, bad) if b])
+                cost = np.array([np.log(len(utf8_steps(b[0]))) if only_utf8(b[1]) else OTHER_COST for b in bad if b])
                 gains = iter(scored([t for t, b in zip(part, bad) if b], counts.value) - scored([b[0] for b in bad if b], counts.value) - cost)
                 columns = [
                     pa.array(part, pa.string()), *(pa.array([named(c[k]) for c in chains], kind) for k in (0, 1)),
@@ -391,7 +405,9 @@ def chains_of(texts: DataFrame, column: str, model: Trained) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["text", "utf", "other", "planted", "kind", "clean"])
 
-    return texts.select(F.col(column)).where(not_ascii(column)).mapInArrow(run, f"text string, utf {found}, other {found}, planted double, kind int, clean boolean")
+    asked = texts.select(F.col(column)).where(not_ascii(column))
+    tasks = max(texts.sparkSession.sparkContext.defaultParallelism, -(-asked.count() // TEXTS_PER_TASK))
+    return asked.repartition(tasks).mapInArrow(run, f"text string, utf {found}, other {found}, planted double, kind int, clean boolean")
 
 
 def margins_of(chains: DataFrame) -> tuple[float, float]:
