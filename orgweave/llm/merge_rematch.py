@@ -173,10 +173,10 @@ def fits(profile: DataFrame, open_: DataFrame) -> DataFrame:
     mine = [F.col("cluster").alias("a"), F.col("key").alias("akey"), "country", F.col("cc").alias("acc"), F.col("rest").alias("arest")]
     facts = ["acc", "ccs", "arest", "rest"]
     pair = lambda df, weight: df.select("a", F.col("cluster").alias("b"), weight.alias("weight"), *facts)
-    short = open_.where("key like 'p:%'").withColumn("key", F.substring("key", 3, 64)).select(*mine)
+    short = open_.where("key like 'p:%'").withColumn("key", F.expr("substring(key, 3)")).select(*mine)
     heads = short.withColumn("head", F.substring("akey", 1, LEAST_CUT)), whole.withColumn("head", F.substring("key", 1, LEAST_CUT))
     by_cut = pair(heads[0].join(heads[1], ["head", "country"]).where(F.startswith("key", "akey")), F.length("akey"))
-    brief = open_.where("key like 'i:%' and cc <> '' and rest <> ''").withColumn("key", F.substring("key", 3, 8)).select(*mine)
+    brief = open_.where("key like 'i:%' and cc <> '' and rest <> ''").withColumn("key", F.expr("substring(key, 3)")).select(*mine)
     by_initials = pair(brief.join(whole.withColumn("akey", _initials("key")), ["akey", "country"]), F.lit(1))
     typed = open_.where("trust in (0, 1) and not key like '_:%' and length(key) >= 8")
     by_typo = typed.select(*mine, _thirds("key")).join(whole.select("*", _thirds("key")), ["block", "country"])
