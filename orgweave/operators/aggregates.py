@@ -69,12 +69,12 @@ def three_way(a: Column, b: Column, none: Column, need_positive: bool = False) -
     return F.when(top <= 0, "none").otherwise(choice) if need_positive else choice
 
 
-def group_edges(links: DataFrame, members: DataFrame, ratio: float = 0.5, before_pruning: bool = True) -> DataFrame:
+def group_edges(links: DataFrame, members: DataFrame, ratio: float = 0.5, vote_ratio: float | None = None) -> DataFrame:
     """``parent_group, child_group``: enough children of one group have enough parents in the other.
 
     ``links(child, parent)``, ``members(member, group)``.  A child counts if its
     parents cover at least ``ratio`` of the parent group, and the group if at
-    least ``ratio`` of its members count.  With one best parent per child a
+    least ``vote_ratio`` (as ``ratio`` if not given) of its members count.  With one best parent per child a
     parent group of three or more is never covered; pass links before pruning.
     """
     size = members.groupBy("group").agg(F.count("*").alias("n"))
@@ -86,7 +86,7 @@ def group_edges(links: DataFrame, members: DataFrame, ratio: float = 0.5, before
     enough = cover.join(pn, "parent_group").where(F.col("m") >= ratio * F.col("pn"))
     votes = enough.groupBy("child_group", "parent_group").agg(F.count("*").alias("k"))
     cn = size.select(F.col("group").alias("child_group"), F.col("n").alias("cn"))
-    return votes.join(cn, "child_group").where(F.col("k") >= ratio * F.col("cn")).select("parent_group", "child_group")
+    return votes.join(cn, "child_group").where(F.col("k") >= (ratio if vote_ratio is None else vote_ratio) * F.col("cn")).select("parent_group", "child_group")
 
 
 def cluster_loss(weights: DataFrame, members: DataFrame) -> DataFrame:

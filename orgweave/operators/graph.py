@@ -111,22 +111,58 @@ def clique_cover(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return keyed.groupBy("component").applyInPandas(cover, f"clique {kind}, node {kind}")
 
 
-def loop_nodes(edges: DataFrame, scratch: Scratch, max_rounds: int = 200) -> DataFrame:
-    """Nodes of ``edges(src, dst)`` on or between loops: what is left when nodes without a way in or out are stripped."""
-    state = scratch.cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
-    n = state.count()
-    for _ in range(max_rounds):
-        if not n:
-            break
-        out_ok = state.join(state.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        in_ok = scratch.cut(out_ok.join(state.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
-        m = in_ok.count()
-        scratch.drop(state)
-        state = in_ok
+def _stripped(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """The edges that are left when nodes without a way in or out are taken away until none is left."""
+    state, n = edges, edges.count()
+    while n:
+        kept = state.join(state.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        kept = scratch.cut(kept.join(state.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
+        m = kept.count()
+        state = kept
         if m == n:
             break
         n = m
-    return state.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    return state
+
+
+def loop_nodes(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """``node`` of ``edges(src, dst)`` that reach themselves; those only between loops don't.
+
+    What has no way in or out is stripped.  Then every node takes the smallest
+    node that reaches it as its colour, and whoever of a colour reaches the
+    colour's own node is one strong component with it; components are taken out
+    and the rest goes on.  Every turn takes a node at least out of each colour,
+    so turns end; no step grows pairs.  Null ends are dropped, repeats harmless.
+    """
+    clean = scratch.cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    found = [clean.where("src = dst").select(F.col("src").alias("node"))]
+    left = _stripped(scratch.cut(clean.where("src <> dst")), scratch)
+    while not left.isEmpty():
+        colour = scratch.cut(left.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("c", F.col("node")))
+        while True:
+            told = left.join(colour.withColumnsRenamed({"node": "src", "c": "from"}), "src").groupBy(F.col("dst").alias("node")).agg(F.min("from").alias("from"))
+            fresh = scratch.cut(colour.join(told, "node", "left").select("node", F.least("c", "from").alias("c"), (F.col("from") < F.col("c")).alias("moved")))
+            scratch.drop(colour)
+            colour = fresh
+            if colour.where("moved").isEmpty():
+                break
+        colour = colour.select("node", "c")
+        inside = left.join(colour.withColumnsRenamed({"node": "src", "c": "cs"}), "src").join(colour.withColumnsRenamed({"node": "dst", "c": "cd"}), "dst")
+        inside = scratch.cut(inside.where("cs = cd").select("src", "dst", F.col("cs").alias("c")))
+        reached = frontier = scratch.cut(colour.where("node = c"))
+        while not frontier.isEmpty():
+            back = inside.join(frontier.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node"), "c").distinct()
+            frontier = scratch.cut(back.join(reached.select("node"), "node", "left_anti"))
+            reached = scratch.cut(reached.unionByName(frontier))
+        sizes = reached.groupBy("c").agg(F.count("*").alias("n")).where("n > 1")
+        found.append(scratch.cut(reached.join(sizes, "c").select("node")))
+        gone = reached.select("node")
+        rest = left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
+        left = _stripped(scratch.cut(rest.select("src", "dst")), scratch)
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out.distinct()
 
 
 def weak_components(edges: DataFrame, scratch: Scratch) -> DataFrame:

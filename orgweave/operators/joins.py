@@ -29,10 +29,10 @@ def interval_join(points: DataFrame, point: str, blocks: DataFrame, low: str, hi
     return keyed.join(listed, ["_lv", "_bin"]).where(F.col(point).between(F.col(low), F.col(high))).drop("_lv", "_bin")
 
 
-def latest_block(points: DataFrame, key: str, point: str, blocks: DataFrame, low: str, high: str, when: str, bin_size: int = 1 << 16) -> DataFrame:
-    """Each point with its containing block of the latest ``when`` (ties: greatest low, then high); points in no block are left out."""
+def latest_block(points: DataFrame, key: str, point: str, blocks: DataFrame, low: str, high: str, when: str, bin_size: int = 1 << 16, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Each point with its containing block of the latest ``when`` (ties: greatest low, then high, then ``ties``); points in no block are left out."""
     found = interval_join(points, point, blocks, low, high, bin_size)
-    order = Window.partitionBy(key).orderBy(F.col(when).desc_nulls_last(), F.col(low).desc(), F.col(high).desc())
+    order = Window.partitionBy(key).orderBy(F.col(when).desc_nulls_last(), F.col(low).desc(), F.col(high).desc(), *(F.col(c).desc_nulls_last() for c in ties))
     return found.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")
 
 
@@ -47,16 +47,23 @@ def jaccard_pairs(df: DataFrame, id_: str, text: str, threshold: float = 0.5, gr
     """
     g = F.col(group) if group else F.lit(0)
     sets = df.select(F.col(id_).alias("id"), g.alias("g"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("toks")).distinct()
-    flat = sets.select("id", "g", "toks", F.explode("toks").alias("tok"))
+    flat = sets.select("id", "g", F.explode("toks").alias("tok"))
     freq = flat.groupBy("tok").agg(F.count("*").alias("df"))
-    ranked = flat.join(freq, "tok").groupBy("id", "g", "toks").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("o"))
+    ranked = flat.join(freq, "tok").groupBy("id", "g").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("o"))
     n = F.size("o")
-    prefix = ranked.select("id", "g", "toks", F.explode(F.slice("o", F.lit(1), n - F.ceil(F.lit(threshold) * n - 1e-9).cast("int") + 1)).alias("p"))
-    left = prefix.select(F.col("id").alias("a"), "g", F.col("toks").alias("ta"), F.col("p.tok").alias("tok"))
-    right = prefix.select(F.col("id").alias("b"), "g", F.col("toks").alias("tb"), F.col("p.tok").alias("tok"))
-    near = (F.col("a") < F.col("b")) & (F.size("ta") >= threshold * F.size("tb")) & (F.size("tb") >= threshold * F.size("ta"))
-    pairs = left.join(right, ["tok", "g"]).where(near).withColumn("similarity", jaccard(F.col("ta"), F.col("tb")))
-    out = pairs.where(F.col("similarity") >= threshold).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+    prefix = ranked.select("id", "g", n.alias("n"), F.explode(F.slice("o", F.lit(1), n - F.ceil(F.lit(threshold) * n - 1e-9).cast("int") + 1)).alias("p"))
+    # Sizes that are alike share one of two neighbouring bands, so a set meets only those of its own size or so; each pair is looked up once.
+    band = F.floor(F.log(F.col("n")) / F.log(F.lit(1 / threshold)) + 1e-9) if threshold < 1 else F.col("n")
+    left = prefix.select(F.col("id").alias("a"), "g", F.col("n").alias("na"), F.col("p.tok").alias("tok"), band.alias("band"))
+    near_bands = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
+    right = prefix.select(F.col("id").alias("b"), "g", F.col("n").alias("nb"), F.col("p.tok").alias("tok"), band.alias("own"), near_bands.alias("step"))
+    right = right.select("b", "g", "nb", "tok", (F.col("own") + F.col("step")).alias("band"))
+    near = (F.col("a") < F.col("b")) & (F.col("na") >= threshold * F.col("nb")) & (F.col("nb") >= threshold * F.col("na"))
+    pairs = left.join(right, ["tok", "g", "band"]).where(near).select("a", "b").distinct()
+    held = sets.groupBy("id").agg(F.first("toks").alias("toks")) if group is None else sets.select("id", "toks").distinct()
+    whole = pairs.join(held.withColumnsRenamed({"id": "a", "toks": "ta"}), "a").join(held.withColumnsRenamed({"id": "b", "toks": "tb"}), "b")
+    scored = whole.withColumn("similarity", jaccard(F.col("ta"), F.col("tb"))).where(F.col("similarity") >= threshold)
+    out = scored.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
     if not link_empty:
         return out
     none = sets.where(F.size("toks") == 0)

@@ -30,13 +30,14 @@ def check_tables(as_table: DataFrame, alias: DataFrame, links: DataFrame, scratc
     return union_all(out)
 
 
-def check_links(families: DataFrame) -> DataFrame:
-    """``problem, value``: links that only one end names."""
-    up = families.select(F.explode("parent").alias("p"), F.col("alias_id").alias("c")).distinct()
-    down = families.select(F.col("alias_id").alias("p"), F.explode("children").alias("c")).distinct()
+def check_links(families: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``problem, value`` (and the columns ``by`` within which links are compared): links that only one end names; null ends are no links."""
+    up = families.select(*by, F.explode("parent").alias("p"), F.col("alias_id").alias("c")).where("p is not null").distinct()
+    down = families.select(*by, F.col("alias_id").alias("p"), F.explode("children").alias("c")).where("c is not null").distinct()
+    keys = [*by, "p", "c"]
     value = F.concat_ws(">", "p", "c").alias("value")
-    one = up.join(down, ["p", "c"], "left_anti").select(F.lit("parent doesn't name child").alias("problem"), value)
-    return one.unionByName(down.join(up, ["p", "c"], "left_anti").select(F.lit("child doesn't name parent").alias("problem"), value))
+    one = up.join(down, keys, "left_anti").select(*by, F.lit("parent doesn't name child").alias("problem"), value)
+    return one.unionByName(down.join(up, keys, "left_anti").select(*by, F.lit("child doesn't name parent").alias("problem"), value))
 
 
 def require_none(found: DataFrame) -> None:

@@ -32,19 +32,20 @@ def rule_scorer(batch: pd.DataFrame) -> list[str]:
 
 
 def score_pairs(pairs: DataFrame, scorer: Scorer = rule_scorer, attempts: int = 2) -> DataFrame:
-    """The pairs with the scorer's raw ``answer``; a batch that fails is tried again, then its answers are null."""
-    schema = pairs.schema.simpleString()[7:-1] + ",answer:string"
+    """The pairs with the scorer's raw ``answer``; a batch that fails is tried again, then its answers are null and ``error`` says why."""
+    schema = pairs.schema.simpleString()[7:-1] + ",answer:string,error:string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             answers: list[str | None] = [None] * len(b)
+            error = None
             for _ in range(attempts):
                 try:
-                    answers = list(scorer(b))
+                    answers, error = list(scorer(b)), None
                     break
-                except Exception:  # noqa: BLE001, S112 - tried again
-                    continue
-            yield b.assign(answer=answers)
+                except Exception as e:  # noqa: BLE001 - tried again
+                    error = f"{type(e).__name__}: {e}"
+            yield b.assign(answer=answers, error=error)
 
     return pairs.mapInPandas(run, schema)
 

@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orgweave.functions import text as T
 from orgweave.functions.answers import first_json_object
-from orgweave.functions.predicates import blocked, long_enough, reported, usable_attribute
+from orgweave.functions.predicates import blocked, long_enough, reported, score_matches, usable_attribute
 from orgweave.functions.wordlists import BLOCKED_NAMES, BLOCKED_PARTS, INSTITUTION_WORDS, REGISTRIES, REPORTED_NAMES, STOP_ATTRIBUTES
 from orgweave.operators import aggregates as A
 from orgweave.operators import evaluate as E
 from orgweave.operators import graph as G
 from orgweave.operators import joins as J
+from orgweave.operators import publish
 from orgweave.operators import snippets as S
 from orgweave.session import Scratch
 from orgweave.sources import rpsl, sinks
@@ -178,7 +179,7 @@ def interval_block_latest(spark: SparkSession, folder: str) -> DataFrame:
     low = F.col("user_id") * 7
     blocks = table(spark, folder, "events").select("event_id", low.alias("low"), (low + F.floor("value")).alias("high"), "ts")
     points = table(spark, folder, "customer").select("c_custkey")
-    return J.latest_block(points, "c_custkey", "c_custkey", blocks, "low", "high", "ts", bin_size=64).select("c_custkey", "event_id", "low", "high")
+    return J.latest_block(points, "c_custkey", "c_custkey", blocks, "low", "high", "ts", bin_size=64, ties=("event_id",)).select("c_custkey", "event_id", "low", "high")
 
 
 _TOKENS = "list_distinct(list_filter(string_split(trim(regexp_replace(lower(t), '[^a-z0-9 ]', '', 'g')), ' '), lambda x: x <> ''))"
@@ -304,22 +305,22 @@ def group_edge_ratio(spark: SparkSession, folder: str) -> DataFrame:
     s = table(spark, folder, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("member"), (F.col("s_nationkey") + 100).alias("group"))
     o = table(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.concat(F.lit("c"), "o_custkey").alias("child"))
     links = table(spark, folder, "lineitem").select("l_orderkey", F.concat(F.lit("s"), "l_suppkey").alias("parent")).join(o, "l_orderkey")
-    members = m.unionByName(s)
-    size = members.groupBy("group").agg(F.count("*").alias("n"))
-    each = links.select("child", "parent").distinct().join(members.withColumnsRenamed({"member": "child", "group": "cg"}), "child").join(members.withColumnsRenamed({"member": "parent", "group": "pg"}), "parent")
-    cover = each.groupBy("cg", "pg", "child").agg(F.count("*").alias("k")).join(size.withColumnsRenamed({"group": "pg", "n": "pn"}), "pg").where("k >= 0.5 * pn")
-    votes = cover.groupBy("cg", "pg").agg(F.count("*").alias("v")).join(size.withColumnsRenamed({"group": "cg", "n": "cn"}), "cg").where("v >= 0.1 * cn")
-    return votes.select(F.col("pg").alias("parent_group"), F.col("cg").alias("child_group"))
+    edges = A.group_edges(links, m.unionByName(s), 0.5, 0.1)
+    return edges.select("parent_group", "child_group")
 
 
 def _matches(spark: SparkSession, folder: str) -> DataFrame:
-    j = table(spark, folder, "alias_judge").select(F.lower(F.trim("org_a_name")).alias("a"), F.lower(F.trim("org_b_name")).alias("b"), F.trim("score").try_cast("double").alias("w"))
-    return j.where("a <> '' and b <> '' and a <> b and w > 0.9").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
+    """Unordered pairs of names whose latest verdict matches."""
+    name = lambda c: F.lower(F.trim(c))
+    j = table(spark, folder, "alias_judge").select(name("org_a_name").alias("a"), name("org_b_name").alias("b"), score_matches(F.trim("score")).alias("hit"), "judged_at", "judge_id")
+    keyed = j.where("a <> '' and b <> '' and a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "judged_at", "judge_id", "hit")
+    last = keyed.groupBy("src", "dst").agg(F.max(F.struct("judged_at", "judge_id", "hit")).alias("l"))
+    return last.where("l.hit").select("src", "dst")
 
 
 @query()
 def clique_cover(spark: SparkSession, folder: str) -> DataFrame:
-    """Disjoint cliques over strongly matched names (tested against brute force: SQL has no clique enumeration)."""
+    """Disjoint cliques over matched names (tested against brute force: SQL has no clique enumeration)."""
     return G.clique_cover(_matches(spark, folder), Scratch(spark, "cliques"))
 
 
@@ -331,28 +332,8 @@ with recursive e as {_UP}, r as (select src as origin, dst as here from e union
 select distinct here as node from r where here in (select origin from r where origin = here) and origin = here""")
 def cycle_check(spark: SparkSession, folder: str) -> DataFrame:
     """Alias groups on an ownership loop of the links that children name in any snapshot."""
-    from orgweave.operators.hierarchy import loops
-
-    up = table(spark, folder, "saint_org_families").select(F.explode("parent").alias("src"), F.col("alias_id").alias("dst")).where("src is not null").distinct()
-    scratch = Scratch(spark, "cycles")
-    core = G.loop_nodes(up, scratch)
-    inside = up.join(core.withColumnRenamed("node", "src"), "src", "left_semi").join(core.withColumnRenamed("node", "dst"), "dst", "left_semi")
-    return _on_loops(scratch.cut(inside), scratch)
-
-
-def _on_loops(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """Of a graph stripped of its ends the nodes that reach themselves: reachable pairs are grown to the end."""
-    reach = scratch.cut(edges.select(F.col("src").alias("origin"), F.col("dst").alias("here")).distinct())
-    n = reach.count()
-    while True:
-        step = reach.join(edges.withColumnRenamed("src", "here"), "here").select("origin", F.col("dst").alias("here"))
-        fresh = scratch.cut(reach.unionByName(step).distinct())
-        m = fresh.count()
-        scratch.drop(reach)
-        reach = fresh
-        if m == n:
-            return reach.where("origin = here").select(F.col("origin").alias("node")).distinct()
-        n = m
+    up = table(spark, folder, "saint_org_families").select(F.explode("parent").alias("src"), F.col("alias_id").alias("dst"))
+    return G.loop_nodes(up, Scratch(spark, "cycles"))
 
 
 @query("""
@@ -368,14 +349,17 @@ def name_merge(spark: SparkSession, folder: str) -> DataFrame:
     return G.merge_by_name(keyed, "org_family_id", "k", Scratch(spark, "merge")).select(F.col("node").alias("family"), F.col("component").alias("merged"))
 
 
-@query(r"""
-select page_id, max(list_aggregate(list_filter(regexp_extract_all(content, '<p>([^<]*)</p>', 1), lambda x: len(list_filter(regexp_split_to_array(x, '\s+'), lambda y: y <> '')) >= 15), 'string_agg', chr(10))) as body
-from clean_individual_html where content is not null group by page_id
-having max(list_aggregate(list_filter(regexp_extract_all(content, '<p>([^<]*)</p>', 1), lambda x: len(list_filter(regexp_split_to_array(x, '\s+'), lambda y: y <> '')) >= 15), 'string_agg', chr(10))) <> ''""")
+_P = r"(?is)<p(?:\s[^>]*)?>(.*?)</p>"
+_PS = rf"""list_filter(list_transform(regexp_extract_all(content, '{_P}', 1), lambda x: trim(regexp_replace(x, '<[^<>]*>', ' ', 'g'))), lambda x: len(list_filter(regexp_split_to_array(x, '\s+'), lambda y: y <> '')) >= 15)"""
+
+
+@query(f"""
+select page_id, max(list_aggregate({_PS}, 'string_agg', chr(10))) as body from clean_individual_html where content is not null group by page_id
+having max(list_aggregate({_PS}, 'string_agg', chr(10))) <> ''""")
 def html_text(spark: SparkSession, folder: str) -> DataFrame:
-    """Paragraphs of at least 15 words of every page."""
-    paragraphs = F.filter(F.regexp_extract_all("content", F.lit("<p>([^<]*)</p>"), F.lit(1)), lambda x: long_enough(x))
-    rows = table(spark, folder, "clean_individual_html").where("content is not null").select("page_id", F.array_join(paragraphs, "\n").alias("body"))
+    """Paragraphs of at least 15 words of every page, whatever attributes and inner markup they have."""
+    inner = F.transform(F.regexp_extract_all("content", F.lit(_P), F.lit(1)), lambda x: F.trim(F.regexp_replace(x, "<[^<>]*>", " ")))
+    rows = table(spark, folder, "clean_individual_html").where("content is not null").select("page_id", F.array_join(F.filter(inner, lambda x: long_enough(x)), "\n").alias("body"))
     return rows.groupBy("page_id").agg(F.max("body").alias("body")).where("body <> ''")
 
 
@@ -423,6 +407,9 @@ def context_merge(spark: SparkSession, folder: str) -> DataFrame:
     """At most six documents of context for each judged pair, the second name's first."""
     pair = table(spark, folder, "alias_judge").select(F.lower(F.trim("org_a_name")).alias("a"), F.lower(F.trim("org_b_name")).alias("b")).where("a <> '' and b <> ''").distinct()
     posts = table(spark, folder, "documents").select(F.explode("mentions").alias("x"), "doc_id").where("x is not null").select(F.lower(F.trim("x")).alias("m"), "doc_id").distinct()
+    # Six of each mention are enough: whatever the other side repeats, six different ones are left.
+    rank = F.row_number().over(Window.partitionBy("m").orderBy("doc_id"))
+    posts = posts.withColumn("k", rank).where("k <= 6").drop("k")
     side = lambda c: pair.join(posts, F.col(c) == F.col("m")).select("a", "b", "doc_id", F.col("doc_id").alias("o"))
     merged = J.merge_context(side("b"), side("a"), ["a", "b"], "doc_id", "o", 6)
     return merged.select("a", "b", "doc_id", "side", F.col("rank").cast("bigint").alias("rank"))
@@ -621,15 +608,12 @@ def public_records(spark: SparkSession, folder: str) -> DataFrame:
 with f as (select distinct snap_month, alias_id, parent, children from saint_org_families),
 u as (select distinct snap_month, p, alias_id as c from (select snap_month, alias_id, unnest(parent) as p from f) where p is not null),
 d as (select distinct snap_month, alias_id as p, c from (select snap_month, alias_id, unnest(children) as c from f) where c is not null)
-select snap_month, p as parent_id, c as child_id, 'child' as missing from u where not exists (select 1 from d where d.snap_month = u.snap_month and d.p = u.p and d.c = u.c)
-union all select snap_month, p, c, 'parent' from d where not exists (select 1 from u where d.snap_month = u.snap_month and d.p = u.p and d.c = u.c)""")
+select snap_month, 'parent doesn''t name child' as problem, p || '>' || c as value from u where not exists (select 1 from d where d.snap_month = u.snap_month and d.p = u.p and d.c = u.c)
+union all select snap_month, 'child doesn''t name parent', p || '>' || c from d where not exists (select 1 from u where d.snap_month = u.snap_month and d.p = u.p and d.c = u.c)""")
 def link_symmetry(spark: SparkSession, folder: str) -> DataFrame:
     """Links that only one end names, in each snapshot."""
     f = table(spark, folder, "saint_org_families").select("snap_month", "alias_id", "parent", "children")
-    up = f.select("snap_month", F.explode("parent").alias("parent_id"), F.col("alias_id").alias("child_id")).where("parent_id is not null").distinct()
-    down = f.select("snap_month", F.col("alias_id").alias("parent_id"), F.explode("children").alias("child_id")).where("child_id is not null").distinct()
-    keys = ["snap_month", "parent_id", "child_id"]
-    return up.join(down, keys, "left_anti").withColumn("missing", F.lit("child")).unionByName(down.join(up, keys, "left_anti").withColumn("missing", F.lit("parent")))
+    return publish.check_links(f, ("snap_month",))
 
 
 @query("""

@@ -22,7 +22,8 @@ def caida_names(spark: SparkSession, path: str) -> DataFrame:
     Deleted ids (``@del``), names with a plus-minus sign in front and lines that don't parse are left out.
     """
     lines = spark.read.schema(CAIDA + ", _corrupt_record string").option("mode", "PERMISSIVE").json(path)
-    rows = lines.where("_corrupt_record is null").withColumn("at", F.monotonically_increasing_id())
+    rows = lines.where("_corrupt_record is null")
+    rows = rows.withColumn("at", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row")))  # the place in the files
     orgs = rows.where("type = 'Organization'").where(~F.col("organizationId").startswith("@del") & ~F.col("name").startswith("±"))
     last_org = orgs.groupBy("organizationId").agg(F.max_by("name", "at").alias("org_name"))
     last_asn = rows.where("type = 'ASN'").groupBy("asn").agg(F.max_by("organizationId", "at").alias("organizationId"))
@@ -45,12 +46,15 @@ def folder_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def aligned_lines(spark: SparkSession, texts: str, metas: str) -> DataFrame:
-    """``text, mentions`` of two files read side by side by line number; lines with an empty side are left out."""
+    """``text, mentions`` of two files, or two folders of files of the same stem, read side by side by line number; lines with an empty side are left out."""
     def numbered(path: str, name: str) -> DataFrame:
-        whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("f"), F.split("value", "\n").alias("l"))
-        return whole.select(F.posexplode("l").alias("at", name))
+        stem = F.regexp_extract(F.input_file_name(), r"([^/]*?)(?:\.[^./]*)?$", 1)
+        whole = spark.read.text(path, wholetext=True).select(stem.alias("stem"), F.split("value", "\n").alias("l"))
+        numbered_ = whole.select("stem", F.posexplode("l").alias("at", name))
+        return numbered_ if many else numbered_.drop("stem")
 
-    both = numbered(texts, "text").join(numbered(metas, "meta"), "at").where("trim(text) <> '' and trim(meta) <> ''")
+    many = spark.read.format("binaryFile").load(texts).select("path").limit(2).count() > 1
+    both = numbered(texts, "text").join(numbered(metas, "meta"), ["stem", "at"] if many else ["at"]).where("trim(text) <> '' and trim(meta) <> ''")
     return both.select("text", F.filter(F.transform(F.split("meta", r"\|"), F.trim), lambda x: x != "").alias("mentions"))
 
 

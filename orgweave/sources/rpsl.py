@@ -7,10 +7,9 @@ projection.
 
 from __future__ import annotations
 
-import gzip
+import io
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,18 +62,29 @@ class _File(InputPartition):
         self.path = path
 
 
+def _store(path: str):
+    """(file system, path on it) of a plain path or a URI (file, hdfs, s3 and so on), the same on driver and executors."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
 class _Reader(DataSourceReader):
     def __init__(self, path: str, wanted: frozenset[str]):
         self.path, self.wanted = path, wanted
 
     def partitions(self) -> list[InputPartition]:
-        at = Path(self.path)
-        files = sorted(str(p) for p in at.iterdir() if p.is_file()) if at.is_dir() else [str(at)]
-        return [_File(f) for f in files]
+        from pyarrow import fs
+
+        store, at = _store(self.path)
+        info = store.get_file_info(at)
+        found = store.get_file_info(fs.FileSelector(at)) if info.type == fs.FileType.Directory else [info]
+        return [_File(f) for f in sorted(i.path for i in found if i.type == fs.FileType.File)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        opener = gzip.open if partition.path.endswith(".gz") else open
-        with opener(partition.path, "rt", encoding="latin-1") as lines:
+        store = _store(self.path)[0]
+        with store.open_input_stream(partition.path, compression="gzip" if partition.path.endswith(".gz") else None) as raw:
+            lines = io.TextIOWrapper(raw, encoding="latin-1")
             for at, record in enumerate(parse_records(lines, self.wanted)):
                 yield at, partition.path, record
 

@@ -17,16 +17,19 @@ def ingest_available(spark: SparkSession, schema: str, source: str, target: str,
     query.awaitTermination()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists on the file system it names."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def upsert_stream(spark: SparkSession, schema: str, source: str, target: str, checkpoint: str, keys: list[str]) -> None:
     """As ``ingest_available``, appending only rows whose content key the target lacks: a retried batch adds nothing."""
 
     def append(batch: DataFrame, _: int) -> None:
         fresh = batch.withColumn("id", content_key(*(F.col(k) for k in keys))).dropDuplicates(["id"])
-        try:
-            known = spark.read.parquet(target).select("id")
-        except Exception:  # noqa: BLE001 - the first batch finds no table
-            known = None
-        out = fresh if known is None else fresh.join(known, "id", "left_anti")
+        # Only a missing table is empty; one that can't be read fails the batch.
+        out = fresh.join(spark.read.parquet(target).select("id"), "id", "left_anti") if exists(spark, target) else fresh
         out.write.mode("append").parquet(target)
 
     query = spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

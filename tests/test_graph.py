@@ -61,6 +61,14 @@ def test_clique_cover_and_loops(spark, scratch):
     assert {r.node for r in G.loop_nodes(d, scratch).collect()} == {1, 2, 3}
 
 
+def test_loops_of_any_length_and_between(spark, scratch):
+    chain = [(k, k + 1) for k in range(60)]
+    edges = chain + [(100, 101), (101, 100), (101, 102), (102, 103), (103, 104), (104, 103), (7, 7), (None, 3), (200, 201), (201, 202), (202, 200), (202, 203), (203, 201)]
+    found = {r.node for r in G.loop_nodes(spark.createDataFrame(edges, "src int, dst int"), scratch).collect()}
+    assert found == {7, 100, 101, 103, 104, 200, 201, 202, 203}, "a chain is no loop, nor is 102 between two"
+    assert G.loop_nodes(spark.createDataFrame([], "src int, dst int"), scratch).count() == 0
+
+
 def test_shared_attributes(spark, scratch):
     rows = spark.createDataFrame([(1, "a"), (2, "a"), (2, "b"), (3, "b"), (4, None)], "id int, at string")
     assert {r.node: r.component for r in G.shared_attribute_families(rows, "id", "at", scratch).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
