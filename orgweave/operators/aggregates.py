@@ -121,3 +121,19 @@ def contiguous_split(df: DataFrame, order: str, parts: int = 2) -> DataFrame:
     placed = ranged.join(F.broadcast(offsets), "_p").withColumn("_at", at)
     chunk = F.ceil(F.col("_total") / parts)
     return placed.withColumn("part", F.floor(F.col("_at") / chunk).cast("int")).drop("_p", "_before", "_at", "_total")
+
+
+def keyword_counts(rows: DataFrame, keyword: str) -> DataFrame:
+    """``keyword, n``: how many rows hold each keyword; nulls and blanks don't count."""
+    return rows.where(F.trim(keyword) != "").groupBy(keyword).agg(F.count("*").alias("n"))
+
+
+def missing_names(named: DataFrame, held: DataFrame, key: str) -> DataFrame:
+    """``key``: names that should have a file (a row of ``held``) and have none, each once; what a recovery writes again."""
+    return named.select(key).where(F.col(key).isNotNull()).distinct().join(held.select(key).distinct(), key, "left_anti")
+
+
+def without_generic_names(groups: DataFrame, group: str, name: str, most: int = 1) -> DataFrame:
+    """The rows of ``groups`` without names that stand in more than ``most`` groups: those don't tell one group from another."""
+    wide = groups.groupBy(name).agg(F.count_distinct(group).alias("_n")).where(F.col("_n") > most).select(name)
+    return groups.join(wide, name, "left_anti")

@@ -65,6 +65,12 @@ def resolve_hierarchy(links: DataFrame, scratch: Scratch) -> DataFrame:
     )
 
 
+def unfollowed_links(links: DataFrame) -> DataFrame:
+    """``parent, child, followed``: counted links that no path follows, since the child has a smaller parent, and that parent."""
+    first = links.groupBy("child").agg(F.min("parent").alias("followed"))
+    return links.join(first, "child").where("parent <> followed").select("parent", "child", "followed")
+
+
 def descendants(resolved: DataFrame) -> DataFrame:
     """``ancestor, descendant, distance`` for all pairs on the resolved paths (a node is not its own)."""
     return (

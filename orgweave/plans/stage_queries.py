@@ -265,3 +265,29 @@ def alias_groups(spark: SparkSession, folder: str) -> DataFrame:
 def reclustered_aliases(spark: SparkSession, folder: str) -> DataFrame:
     """Registry organisations in disjoint cliques of matching judgements (SQL has no clique enumeration)."""
     return C.recluster_aliases(table(spark, folder, "org").where("org_name is not null"), table(spark, folder, "alias_judge"), Scratch(spark, "recluster"))
+
+
+@query("""
+select a as attribute, count(*) as n from (select lower(trim(unnest(aka))) as a from org) where a <> '' group by a""")
+def attribute_frequency(spark: SparkSession, folder: str) -> DataFrame:
+    """How many registry rows hold each other name."""
+    rows = table(spark, folder, "org").select(F.explode("aka").alias("a")).select(F.lower(F.trim("a")).alias("attribute"))
+    return A.keyword_counts(rows, "attribute")
+
+
+@query("""
+with d as (select distinct lower(trim(source_org)) as n from documents where source_org is not null)
+select distinct lower(trim(org_name)) as name from org where org_name is not null and lower(trim(org_name)) not in (select n from d)""")
+def missing_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Registry organisations of which no text is held."""
+    name = lambda c: F.lower(F.trim(c)).alias("name")
+    return A.missing_names(table(spark, folder, "org").select(name("org_name")), table(spark, folder, "documents").select(name("source_org")), "name")
+
+
+@query("""
+with g as (select distinct org_family_id as fam, lower(trim(e.org_name)) as n from (select org_family_id, unnest(asn_entries) as e from saint_org_families) where e.org_name is not null)
+select fam, n from g where n in (select n from g group by n having count(distinct fam) = 1)""")
+def telling_names(spark: SparkSession, folder: str) -> DataFrame:
+    """Names that stand in one family alone."""
+    rows = table(spark, folder, "saint_org_families").select(F.col("org_family_id").alias("fam"), F.explode("asn_entries.org_name").alias("n")).where("n is not null")
+    return A.without_generic_names(rows.select("fam", F.lower(F.trim("n")).alias("n")).distinct(), "fam", "n")
