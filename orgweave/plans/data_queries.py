@@ -51,13 +51,18 @@ def p4_loops(spark: SparkSession, folder: str) -> DataFrame:
     return hierarchy.loops(links, hierarchy.resolve_hierarchy(links, scratch), scratch)
 
 
+def p4_unfollowed(spark: SparkSession, folder: str) -> DataFrame:
+    """Counted links that no path follows, since the child names a smaller parent too."""
+    return hierarchy.unfollowed_links(_links(spark, folder, Scratch(spark, "p4")))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Alias groups added, removed or changed in each monthly snapshot."""
     rows = table(spark, folder, "saint_org_families")
     return snapshots.snapshot_changes(rows, "alias_id", "snap_month", "loaded_at", ["org_family_id", "asn_entries"])
 
 
-QUERIES = {"p4_found": p4_found, "p4_descendants": p4_descendants, "p4_loops": p4_loops, "p7_found": p7_found}
+QUERIES = {"p4_found": p4_found, "p4_descendants": p4_descendants, "p4_loops": p4_loops, "p4_unfollowed": p4_unfollowed, "p7_found": p7_found}
 
 _LINKS_SQL = """
 with recursive latest as (
@@ -100,6 +105,10 @@ up as (
     union
     select u.origin, l.parent from up u join links l on l.child = u.above)
 select alias_id as node, alias_id in (select origin from up where origin = above) as on_loop from lost""",
+    "p4_unfollowed": _LINKS_SQL
+    + """
+, first as (select child, min(parent) as followed from links group by child)
+select l.parent, l.child, f.followed from links l join first f using (child) where l.parent <> f.followed""",
     "p7_found": """
 with latest as (
     select snap_month, alias_id,
