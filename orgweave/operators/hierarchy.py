@@ -35,7 +35,8 @@ def resolve_hierarchy(links: DataFrame, scratch: Scratch) -> DataFrame:
     A node named under several parents follows the smallest of them, so every
     node has one path.  A link to oneself is a loop.  No links, no rows.  Each
     level is one join that AQE splits if a parent holds most of the children; its
-    frontier is cut to a table, so the plan of a level doesn't grow with depth.
+    frontier is cut to a table, so the plan of a level doesn't grow with depth,
+    and reached nodes leave the tree, so deep levels read only what is left.
     """
     tree = scratch.cut(links.groupBy("child").agg(F.min("parent").alias("parent")))
     nodes = links.select(F.explode(F.array("parent", "child")).alias("node")).distinct()
@@ -46,8 +47,9 @@ def resolve_hierarchy(links: DataFrame, scratch: Scratch) -> DataFrame:
     )
     start = roots.select("node", F.col("node").alias("root"), F.lit(0).alias("depth"), F.array("node").alias("path"))
     frontier = scratch.cut(start)
-    reached = [frontier]
-    while not frontier.isEmpty():
+    reached, taken = [frontier], []
+    left = held = tree.count()
+    while left and not frontier.isEmpty():
         below = frontier.select(F.col("node").alias("parent"), "root", "depth", "path").join(tree, "parent")
         frontier = scratch.cut(
             below.select(
@@ -56,6 +58,13 @@ def resolve_hierarchy(links: DataFrame, scratch: Scratch) -> DataFrame:
             )
         )
         reached.append(frontier)
+        taken.append(frontier.select(F.col("node").alias("child")))
+        left -= frontier.count()
+        if left * 2 <= held:
+            # What was reached is taken out whenever it is half of what a level reads, so all writes are at most twice the tree.
+            last, tree = tree, scratch.cut(tree.join(union_all(taken), "child", "left_anti"))
+            scratch.drop(last)
+            taken, held = [], left
     done = union_all(reached)
     lost = nodes.join(done.select("node"), "node", "left_anti")
     minus = F.lit(-1)
