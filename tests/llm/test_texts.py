@@ -193,3 +193,38 @@ def test_case_may_turn_with_the_encoding(counts):
             assert text in E.recode(bad, wrong, right), (bad, wrong, right)
     assert not any("Oçã" in f or "COMUNICAç" in f for w in E.WRONG for r in E.RIGHT for f in E.recode("COMUNICAÇÃO", w, r))
     assert E.judge(["УЧСЪШ ФЕМЕЛПН ЙОФЕТОЕФ"], counts)[0][:2] == (True, "связь телеком интернет")
+
+
+def every_chain(text, counts, depth):
+    """The gains of the likeliest texts that UTF-8 steps alone give, and that other chains give, by trying each."""
+    level, cost = {(text, True): 0.0}, {}
+    for _ in range(depth):
+        ahead = {}
+        for (t, only), spent in level.items():
+            utf8 = E.utf8_steps(t)
+            steps = {f: (only, np.log(len(utf8))) for f in utf8}
+            for fixed, (kind, price) in ({f: (False, E.OTHER_COST) for f in E.other_steps(t)} | steps).items():
+                ahead[fixed, kind] = min(spent + price, ahead.get((fixed, kind), np.inf))
+        for key, spent in ahead.items():
+            cost[key] = min(spent, cost.get(key, np.inf))
+        level = ahead
+    alone = {t for t, only in cost if only} | {text}
+    keys = [k for k in cost if k[0] != text and (k[1] or k[0] not in alone)]
+    gains = E.scored([t for t, _ in keys], counts) - E.scored([text], counts)[0] - np.array([cost[k] for k in keys])
+    return [max([0.0, *(g for (_, only), g in zip(keys, gains) if only == kind)]) for kind in (True, False)]
+
+
+def test_every_chain_counts(counts):
+    deep = "ооо связь".encode("koi8_r").decode("cp866").encode("utf-8").decode("cp1252").encode("utf-8").decode("mac_roman")
+    texts = [*CLEAN, deep, "универ ûí îîî", "espaÒa Óptica", "ооо связь".encode("cp1251").decode("koi8_r").encode("cp866").decode("cp1251")]
+    for found, margins in ((E.best_chains(texts, counts, 3), None), (E.best_chains(texts, counts, 3, margins=(2.0, 0.5)), (2.0, 0.5))):
+        for text, pair in zip(texts, found):
+            gains, all_gains = [f[1] if f else 0.0 for f in pair], every_chain(text, counts, 3)
+            if margins:
+                gains, all_gains = (max(0.0, *(g - m for g, m in zip(x, margins))) for x in (gains, all_gains))
+            assert gains == pytest.approx(all_gains), text
+
+
+def test_no_text_is_dropped_for_being_fifth(counts):
+    bad = "comunicação são joão".encode("cp1252").decode("cp852").encode("cp1250").decode("cp852")
+    assert E.judge([bad], counts)[0] == (True, "comunicação são joão", "cp852>cp1250 cp852>cp1252"), "the first step reads far worse than the record"
