@@ -105,14 +105,18 @@ def has_part(value: str, name: str, generic: frozenset[str]) -> bool:
     return any(w[:4] in whole or w[-4:] in whole for w in words)
 
 
-def placeholders(rows: DataFrame, value: F.Column, name: str, generic: frozenset[str] = frozenset()) -> list[str]:
+def placeholders(rows: DataFrame, value: F.Column, name: str, generic: frozenset[str] = frozenset(), total: int | None = None) -> list[str]:
     """Values that go with very many different names of which they hold nothing: placeholders, shared hosts.
 
     Spellings of one organisation hold parts of its code, however many they are.  At most 1 / share of them.
+    ``total`` is the number of different names (null counts as one), if it is known.
     """
-    total = rows.select(name).distinct().count()
+    total = rows.select(name).distinct().count() if total is None else total
     least = max(SHARED_LEAST, SHARED_SHARE * total)
-    pairs = rows.select(value.alias("value"), F.col(name).alias("name")).where("value <> ''").distinct()
+    pairs = rows.select(value.alias("value"), F.col(name).alias("name")).where("value <> ''")
+    # What stands in so few rows has no more names; the others are few.
+    many = pairs.groupBy("value").count().where(F.col("count") >= least).select("value")
+    pairs = pairs.join(F.broadcast(many), "value", "left_semi").distinct()
     often = [r.value for r in pairs.groupBy("value").count().where(F.col("count") >= least).collect()]
     if not often:
         return []
@@ -135,12 +139,17 @@ def exact_links(evidence: DataFrame) -> DataFrame:
 
 
 def clusters_of(links: DataFrame, records: DataFrame, scratch: Scratch) -> DataFrame:
-    """``rid, cluster`` of all records under their links to nodes."""
-    node = F.shiftleft(F.xxhash64("node"), 1) + 1
-    mine = F.shiftleft("rid", 1)
-    edges = links.select(mine.alias("u"), node.alias("v")).unionByName(records.select(mine.alias("u"), mine.alias("v")))
-    roots = grid_components(edges, scratch)
-    return scratch.cut(roots.where(F.col("v") % 2 == 0).select(F.shiftright("v", 1).alias("rid"), F.col("root").alias("cluster")))
+    """``rid, cluster`` of all records under their links to nodes.
+
+    A node ties its records to the smallest of them; most have one record and tie nothing, so they are left out of the graph.
+    """
+    hashed = scratch.cut(links.select("rid", F.xxhash64("node").alias("node")))
+    shared = hashed.groupBy("node").agg(F.min("rid").alias("first"), F.max("rid").alias("last")).where("first < last")
+    edges = hashed.join(shared, "node").where("rid <> first").select(F.col("rid").alias("u"), F.col("first").alias("v"))
+    roots = grid_components(edges, scratch).select(F.col("v").alias("rid"), "root")
+    clusters = scratch.cut(records.join(roots, "rid", "left").select("rid", F.coalesce("root", "rid").alias("cluster")))
+    scratch.drop(hashed)
+    return clusters
 
 
 def rematch(profile: DataFrame, open_: DataFrame, scratch: Scratch) -> DataFrame:

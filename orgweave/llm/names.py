@@ -9,6 +9,7 @@ same brand without blanks, whole or cut short.
 from __future__ import annotations
 
 import functools
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -47,10 +48,12 @@ _EXTRA = {"ł": "l", "ø": "o", "ß": "ss", "æ": "ae", "đ": "d", "ı": "i", "
 # What follows the brand in Chinese and Japanese names.
 _CJK_TAIL = regex.compile(r"(?:网络|网科|信息|信科|数据|电信|科技|股份|有限|集团|インターネット|データ|通信|ネットワーク|株式|\(株\)|（株）|[.．]).*$")
 _CJK = regex.compile(r"[\p{Han}\p{Katakana}\p{Hiragana}ー]")
-_WORD = regex.compile(r"[a-z0-9?]+")
+_WORD = re.compile(r"[a-z0-9?]+")
 _ALSO = regex.compile(r"\((?:dba|d/b/a|t/a|aka)\s+([^)]*)\)|\b(?:trading as|doing business as|dba|d/b/a|t/a)\s+(.+)$", regex.I)
 _PLACE = regex.compile(r"\([^)]*\)|\s[-–—]\s[^-–—]*$")
 _CAMEL = regex.compile(r"(?<=\p{Ll})(?=\p{Lu}\p{Ll})")
+_ASCII_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z][a-z])")
+_PLACE_MARKS = frozenset("(-–—")
 _HOST = regex.compile(r"^\s*(?:[a-z]+:/*)?(?:[^/@]*@)?([^/?#:\s]+)(?::\d+)?(/[^?#\s]*)?", regex.I)
 
 
@@ -67,10 +70,11 @@ def fold(text: str) -> str:
     return _DAMAGE.sub("?", _MARKS.sub("", unicodedata.normalize("NFKD", text.translate(_LETTERS))))
 
 
-_GAP = regex.compile(r"[^a-z0-9?]+")
-_NO_KEY, _TWICE = regex.compile(r"[^a-z0-9?]"), regex.compile(r"(.)\1+")
+_GAP = re.compile(r"[^a-z0-9?]+")
+_NO_KEY, _TWICE = re.compile(r"[^a-z0-9?]+"), re.compile(r"(.)\1+")
 
 
+@functools.lru_cache(maxsize=50_000)
 def key(text: str) -> str:
     """A folded brand without blanks, two-letter vowels and doubled letters, the commonest ways of typing it differently."""
     text = _NO_KEY.sub("", text).replace("ae", "a").replace("oe", "o").replace("ue", "u")
@@ -79,7 +83,9 @@ def key(text: str) -> str:
 
 def words_of(name: str) -> list[str]:
     """The folded words of a name; words written in one with inner capitals count apart."""
-    return _WORD.findall(fold(name if name.islower() or name.isupper() else _CAMEL.sub(" ", name)))
+    if name.islower() or name.isupper():
+        return _WORD.findall(fold(name))
+    return _WORD.findall(fold((_ASCII_CAMEL if name.isascii() else _CAMEL).sub(" ", name)))
 
 
 def _cut_countries() -> dict[str, str]:
@@ -106,6 +112,12 @@ def country_of(words: list[str]) -> str:
     return ""
 
 
+def _may_say_also(name: str) -> bool:
+    """Whether ``_ALSO`` may match: cheaper, and so nearly all names are spared it."""
+    text = name.lower()
+    return not text.isascii() or "(" in text or "dba" in text or "/a" in text or " as" in text
+
+
 class Reading:
     """What one name says: brand words in order, country, native stem, and the generic words left."""
 
@@ -113,7 +125,7 @@ class Reading:
 
     def __init__(self, name: str, generic: frozenset[str]):
         native = ""
-        if _CJK.search(name):
+        if not name.isascii() and _CJK.search(name):
             stem = _CJK_TAIL.sub("", name.strip())
             native = "".join(_CJK.findall(stem))
         words = words_of(name)
@@ -127,9 +139,9 @@ class Reading:
 @functools.lru_cache(maxsize=60_000)
 def read_name(name: str, generic: frozenset[str]) -> list[Reading]:
     """The readings of a typed name: itself, and what it says it is also known as."""
-    also = [a or b for a, b in _ALSO.findall(name)]
+    also = [a or b for a, b in _ALSO.findall(name)] if _may_say_also(name) else []
     main = _ALSO.sub(" ", name) if also else name
-    if not _CJK.search(main):
+    if not _PLACE_MARKS.isdisjoint(main) and (main.isascii() or not _CJK.search(main)):
         main = _PLACE.sub(" ", main)
     return [Reading(x, generic) for x in [main, *also] if x.strip()]
 

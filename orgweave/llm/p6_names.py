@@ -47,10 +47,11 @@ def name_clusters(spark: SparkSession, folder: str, scratch: Scratch) -> DataFra
     registry = table(spark, folder, "org").select("org_key", F.concat(F.array("org_name"), F.coalesce("aka", F.array())).alias("n"))
     other = registry.select((F.col("org_key") * 2 + 1).alias("rid"), F.lit(None).cast("string").alias("as_name"), F.explode("n").alias("org_name"))
     # Rows of a name meet in few tasks, where it is read once; the salt splits a hot name.
-    both = named.unionByName(other).where("rid is not null").repartition(F.col("org_name"), F.pmod("rid", F.lit(SALT)))
-    rows = scratch.cut(both.distinct())
-    generic = N.generic_words(rows.select("org_name").where("org_name is not null").distinct(), "org_name")
-    empty = placeholders(rows, F.lower("as_name"), "org_name", generic)
+    both = named.unionByName(other).where("rid is not null").withColumn("salt", F.pmod("rid", F.lit(SALT)))
+    rows = scratch.cut(both.repartition("org_name", "salt").distinct().drop("salt"))
+    names = scratch.cut(rows.select("org_name").distinct())
+    generic = N.generic_words(names.where("org_name is not null"), "org_name")
+    empty = placeholders(rows, F.lower("as_name"), "org_name", generic, names.count())
     generic |= {N.read_code(code)[0] for code in empty}
     clusters = resolve(read_entries(rows, generic), scratch)
     return clusters.where(F.col("rid") % 2 == 0).select(F.shiftright("rid", 1).alias("alias_id"), "cluster")

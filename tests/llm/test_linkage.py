@@ -175,3 +175,16 @@ def test_one_organisation_with_a_third_of_the_names(spark):
     generic = N.generic_words(df.select("name").distinct(), "name")
     assert set(kinds) <= generic and not generic & {"kuspordan", "kilsolnar"}
     assert R.placeholders(df, df["code"], "name", generic) == ["UNSPECIFIED"]
+
+
+def test_nodes_of_one_record_stay_out_of_the_graph(spark, scratch, monkeypatch):
+    links = spark.createDataFrame([(k, f"own{k}") for k in range(50)] + [(1, "x"), (2, "x"), (3, "x"), (3, "y"), (9, "y"), (9, "y"), (7, "z"), (7, "z")], "rid long, node string")
+    records = spark.createDataFrame([(k,) for k in range(52)], "rid long")
+    graphs, whole = [], R.grid_components
+    monkeypatch.setattr(R, "grid_components", lambda edges, s: graphs.append(edges.count()) or whole(edges, s))
+    got = R.clusters_of(links, records, scratch).collect()
+    members = {}
+    for r in got:
+        members.setdefault(r.cluster, set()).add(r.rid)
+    assert len(got) == 52 and sorted(map(sorted, members.values())) == sorted([[1, 2, 3, 9], *([k] for k in range(52) if k not in (1, 2, 3, 9))])
+    assert graphs and graphs[0] <= 5, "only records that share a node are edges"
