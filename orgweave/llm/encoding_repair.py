@@ -697,6 +697,7 @@ def repair(texts: DataFrame, column: str, model: Trained, scratch: Scratch) -> D
     return chains.where("clean").select("text", "utf", "other").mapInArrow(of_clean, kinds).unionByName(others)
 
 
+@functools.lru_cache(maxsize=60_000)
 def quick_repair(text: str | None, depth: int = DEPTH) -> str | None:
     """The text with garbled UTF-8 restored if that alone makes it plain; no model is asked.  Null and damaged texts stay."""
     if not text or text.isascii() or "\ufffd" in text or is_clean(text):
@@ -705,12 +706,11 @@ def quick_repair(text: str | None, depth: int = DEPTH) -> str | None:
     for _ in range(depth):
         deeper: list[str] = []
         for t in at:
-            for wrong in WRONG:
-                for fixed in recode(t, wrong, "utf-8"):
-                    if is_clean(fixed):
-                        return fixed
-                    if fixed not in seen:
-                        seen.add(fixed)
-                        deeper.append(fixed)
+            for fixed in utf8_steps(t):
+                if is_clean(fixed):
+                    return fixed
+                if fixed not in seen:
+                    seen.add(fixed)
+                    deeper.append(fixed)
         at = deeper
     return text

@@ -205,19 +205,18 @@ def _thirds(column: str) -> F.Column:
     Lengths differ by one, so there are thirds of two sizes.
     """
     text = F.col(column)
-    sizes = F.array_distinct(F.array(F.length(text) / 3, (F.length(text) - 1) / 3).cast("array<int>"))
+    size, other = F.expr(f"int(length({column}) div 3)"), F.expr(f"int((length({column}) - 1) div 3)")
 
-    def blocks(n: F.Column) -> F.Column:
+    def blocks(n: F.Column) -> list[F.Column]:
         outer = F.concat(F.left(text, n), F.lit("|"), F.right(text, n))
-        return F.array(F.concat(F.lit("<"), F.left(text, n * 2)), F.concat(F.lit(">"), F.right(text, n * 2)), outer)
+        return [F.concat(F.lit("<"), F.left(text, n * 2)), F.concat(F.lit(">"), F.right(text, n * 2)), outer]
 
-    return F.explode(F.flatten(F.transform(sizes, blocks))).alias("block")
+    return F.explode(F.when(size == other, F.array(*blocks(size))).otherwise(F.array(*blocks(size), *blocks(other)))).alias("block")
 
 
 def _initials(column: str) -> F.Column:
     """``initials`` as a column."""
-    found = F.regexp_extract_all(F.col(column), F.lit("([bdfgkptc]r|[bcdfghjklmnpqrstvwxyz])[aeiou]"), F.lit(1))
-    return F.array_join(F.transform(found, lambda x: F.substring(x, 1, 1)), "")
+    return F.regexp_replace(column, "(?:([bdfgkptc])r|([bcdfghjklmnpqrstvwxyz]))[aeiou]|.", "$1$2")
 
 
 def _union(rows: DataFrame) -> DataFrame:

@@ -42,6 +42,7 @@ COUNTRIES = {
     "chile": "cl", "peru": "pe", "indonesia": "id", "singapore": "sg", "kenya": "ke", "egypt": "eg", "ukraina": "ua", "korea": "kr",
 }
 _CODES = frozenset(COUNTRIES.values())
+_NO_BRAND = LEGAL | COUNTRIES.keys() | {"south"}
 # Cyrillic letters in Latin.
 _CYRILLIC = dict(zip("абвгдеёжзийклмнопрстуфхцчшщъыьэюя", "a b v g d e e zh z i j k l m n o p r s t u f h c ch sh sh _ y _ e ju ja".split()))
 _EXTRA = {"ł": "l", "ø": "o", "ß": "ss", "æ": "ae", "đ": "d", "ı": "i", "œ": "oe"}
@@ -57,7 +58,15 @@ _PLACE_MARKS = frozenset("(-–—")
 _HOST = regex.compile(r"^\s*(?:[a-z]+:/*)?(?:[^/@]*@)?([^/?#:\s]+)(?::\d+)?(/[^?#\s]*)?", regex.I)
 
 
-_LETTERS = str.maketrans({k: v.replace("_", "") for k, v in _CYRILLIC.items()} | _EXTRA | {"\ufffd": "?"})
+class _Letters(dict):
+    """Letters by their numbers; any other stands for itself, which ``translate`` finds faster listed than lacking."""
+
+    def __missing__(self, code: int) -> int:
+        self[code] = code
+        return code
+
+
+_LETTERS = _Letters(str.maketrans({k: v.replace("_", "") for k, v in _CYRILLIC.items()} | _EXTRA | {"\ufffd": "?"}))
 _MARKS, _DAMAGE = regex.compile(r"\p{M}+"), regex.compile(r"\?{2,}")
 
 
@@ -67,7 +76,9 @@ def fold(text: str) -> str:
     text = text.lower()
     if text.isascii():
         return text
-    return _DAMAGE.sub("?", _MARKS.sub("", unicodedata.normalize("NFKD", text.translate(_LETTERS))))
+    text = unicodedata.normalize("NFKD", text.translate(_LETTERS))
+    text = text if text.isascii() else _MARKS.sub("", text)
+    return _DAMAGE.sub("?", text) if "??" in text else text
 
 
 _GAP = re.compile(r"[^a-z0-9?]+")
@@ -131,7 +142,7 @@ class Reading:
         words = words_of(name)
         self.country = country_of(words)
         self.native = native if len(native) >= 3 else ""
-        plain = [w for w in words if w not in COUNTRIES and w not in LEGAL and w not in generic and w != "south"]
+        plain = [w for w in words if w not in _NO_BRAND and w not in generic]
         self.brand = [w for w in plain if not w.isdigit() and w.isascii()][:2] if not native else []
         self.rest = frozenset(w[:3] for w in words if w in generic and w not in LEGAL)
 

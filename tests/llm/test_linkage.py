@@ -188,3 +188,17 @@ def test_nodes_of_one_record_stay_out_of_the_graph(spark, scratch, monkeypatch):
         members.setdefault(r.cluster, set()).add(r.rid)
     assert len(got) == 52 and sorted(map(sorted, members.values())) == sorted([[1, 2, 3, 9], *([k] for k in range(52) if k not in (1, 2, 3, 9))])
     assert graphs and graphs[0] <= 5, "only records that share a node are edges"
+
+
+def test_blocks_and_initials_are_compiled(spark):
+    keys = ["mortelnet", "brelkantis", "krolvunda", "strbrelmo", "abcdefghij", "aeiou", "x", "", "krbrdrte"]
+    df = spark.createDataFrame([(k,) for k in keys], "key string")
+    told = {r.key: r.i for r in df.select("key", R._initials("key").alias("i")).collect()}
+    assert told == {k: R.initials(k) for k in keys}
+    blocked = df.select("key", R._thirds("key"))
+    plan = blocked.select("*", R._initials("key"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan, "functions over lambdas are interpreted, row by row"
+    of = lambda words: {k: {r.block for r in spark.createDataFrame([(k,)], "key string").select(R._thirds("key")).collect()} for k in words}
+    word = "brelkantis"
+    found = of([word, word[1:], word[:4] + word[5:], word[:-1], word + "x", "brelkxntis", "rbelkantis"])
+    assert all(found[word] & blocks for blocks in found.values())

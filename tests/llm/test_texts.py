@@ -228,3 +228,11 @@ def test_every_chain_counts(counts):
 def test_no_text_is_dropped_for_being_fifth(counts):
     bad = "comunicação são joão".encode("cp1252").decode("cp852").encode("cp1250").decode("cp852")
     assert E.judge([bad], counts)[0] == (True, "comunicação são joão", "cp852>cp1250 cp852>cp1252"), "the first step reads far worse than the record"
+
+
+def test_quick_repair_reads_only_what_may_be_a_sequence(monkeypatch):
+    read, plain = [], E.repair_utf8
+    monkeypatch.setattr(E, "repair_utf8", lambda *a: read.append(a[1]) or plain(*a))
+    assert E.quick_repair("žluť ¤ ‡") == "žluť ¤ ‡" and not read, "no two of its characters begin a sequence in any encoding"
+    twice = "são".encode().decode("cp1252").encode().decode("cp437")
+    assert E.quick_repair(twice + " joão") == "são joão" and len(set(read)) <= len(E.WRONG)
