@@ -236,3 +236,35 @@ def test_quick_repair_reads_only_what_may_be_a_sequence(monkeypatch):
     assert E.quick_repair("žluť ¤ ‡") == "žluť ¤ ‡" and not read, "no two of its characters begin a sequence in any encoding"
     twice = "são".encode().decode("cp1252").encode().decode("cp437")
     assert E.quick_repair(twice + " joão") == "são joão" and len(set(read)) <= len(E.WRONG)
+
+
+def test_blocks_are_compressed_once_for_all_classes(spark):
+    rng = random.Random(8)
+    rows = [(lang, " ".join(str(rng.random()) if rng.random() < 0.5 else "wide open road" for _ in range(rng.randrange(5, 90)))) for lang in ["en"] * 300 + ["de"] * 90 + ["xx"] * 20 + [None] * 10]
+    slim = spark.createDataFrame(rows, "lang string, text string")
+    by_class = {}
+    for lang, text in rows:
+        for block in S.blocks(text):
+            size, ratio = S.compression(block)
+            by_class.setdefault(("", size), []).append(ratio)
+            by_class.setdefault((S.language(lang), size), []).append(ratio)
+    usual = S.usual_ratios(slim)
+    assert set(usual) == {k for k, r in by_class.items() if not k[0] or len(r) >= S.LEAST_BLOCKS}
+    for key, (middle, spread) in usual.items():
+        of = sorted(by_class[key])
+        low, high = (of[int(np.ceil(p * len(of))) - 1] for p in (0.5, 0.84))
+        assert (middle, spread) == pytest.approx((low, max(high - low, 0.02)))
+    calls = spark.sparkContext.accumulator(0)
+    plain = S.block_ratios
+
+    def counted(batches):
+        for batch in batches:
+            calls.add(batch.num_rows)
+            yield from plain(iter([batch]))
+
+    S.block_ratios = counted
+    try:
+        S.usual_ratios(slim)
+    finally:
+        S.block_ratios = plain
+    assert calls.value == len(rows), "each text is read once"
