@@ -208,14 +208,25 @@ def lowbyte_table(encoding: str) -> tuple[dict[int, int], frozenset[str]]:
     return table, frozenset(chars)
 
 
+class _Writers(dict):
+    """Character -> the encodings of WRONG, a bit each, that write it."""
+
+    def __missing__(self, ch: str) -> int:
+        self[ch] = sum((ch in lowbyte_table(wrong)[1]) << k for k, wrong in enumerate(WRONG))
+        return self[ch]
+
+
+_WRITERS = _Writers()
+
+
 def written(text: str) -> dict[bytes, str]:
     """Bytes -> the first encoding of WRONG that writes the text so."""
     out: dict[bytes, str] = {}
-    chars = set(text)
-    for wrong in WRONG:
-        table, known = lowbyte_table(wrong)
-        if chars <= known:
-            out.setdefault(codecs.charmap_encode(text, "strict", table)[0], wrong)
+    bits = functools.reduce(int.__and__, map(_WRITERS.__getitem__, set(text)), -1 % (1 << len(WRONG)))
+    while bits:
+        wrong = WRONG[(bits & -bits).bit_length() - 1]
+        out.setdefault(codecs.charmap_encode(text, "strict", lowbyte_table(wrong)[0])[0], wrong)
+        bits &= bits - 1
     return out
 
 
@@ -357,6 +368,7 @@ class Ceilings:
         self.above = np.concatenate([codes[held], codes[~held][:1], np.array([ord("i"), ord("k")], np.uint64)])
         self.firsts: dict[tuple[int, int], float] = {}
         self.known: dict[str, bool] = {}
+        self.windows: dict[str, tuple[int, ...]] = {}
         # Character -> the steps of ``char_maps``, a bit each, that make it one that the clean texts hold.
         self.images: dict[str, int] = {}
         for bit, (_, _, images) in enumerate(char_maps()):
@@ -376,19 +388,28 @@ class Ceilings:
 
     def most_lacking(self, top: float, used: float) -> int:
         """How many characters that the clean texts lack a text may have to score above ``used`` yet, if it scores ``top`` at most; 2 if more."""
-        return sum(top + n * self.lack + self.after > used for n in (1, 2))
+        return (top + self.lack + self.after > used) + (top + 2 * self.lack + self.after > used)
+
+    def lacking(self, run: str) -> tuple[int, ...]:
+        """For each character of a run that the clean texts lack the encodings of WRONG, a bit each, in which a sequence may hold it."""
+        if run not in self.windows:
+            if len(self.windows) >= 100_000:
+                self.windows.clear()
+            pairs = run_pairs(run)
+            self.windows[run] = tuple(functools.reduce(int.__or__, pairs[max(0, k - 3) : k + 1], 0) for k, ch in enumerate(run) if not self.held(ch))
+        return self.windows[run]
 
     def mending(self, text: str, most: int) -> int:
         """The encodings of WRONG, a bit each, whose step to UTF-8 may leave no more than ``most`` (0 or 1) characters that the clean texts lack."""
-        once = twice = 0
+        # The encodings that leave none so far, and one at most.
+        none = one = -1
         for run in _HIGH.findall(text):
-            pairs = run_pairs(run)
-            for k, ch in enumerate(run):
-                if not self.held(ch):
-                    missed = ~functools.reduce(int.__or__, pairs[max(0, k - 3) : k + 1], 0)
-                    twice |= once & missed
-                    once |= missed
-        return ~(twice if most else once)
+            for held in self.lacking(run):
+                one &= none | held
+                none &= held
+                if not (one if most else none):
+                    return 0
+        return one if most else none
 
     def first(self, a: int, b: int) -> float:
         """The greatest log probability that a character above ASCII has after two others."""
@@ -404,8 +425,8 @@ class Ceilings:
             self.firsts[a, b] = float(logs.max())
         return self.firsts[a, b]
 
-    def of(self, texts: list[str], steps: int) -> tuple[np.ndarray, ...]:
-        """The score of each text, and the ceilings of what UTF-8 steps make of it, and of what up to ``steps`` others make, less their cost.
+    def of(self, texts: list[str], steps: int) -> tuple[list[float], ...]:
+        """The log likelihood of each text, and the ceilings of what UTF-8 steps make of it, and of what up to ``steps`` others make, less their cost.
 
         Then those of UTF-8 steps and of one other where characters above ASCII may be any.
 
@@ -413,11 +434,11 @@ class Ceilings:
         those out of reach stay as they are; after two of them a character above ASCII stays one; every other place adds 0 at most.
         """
         if not texts:
-            return (np.empty(0),) * 5
+            return ([],) * 5
         logs, starts = log_terms(texts, self.counts)
-        scores = np.add.reduceat(logs, starts[:-1]) - case_costs(texts)
+        likely = np.add.reduceat(logs, starts[:-1]).tolist()
         if not steps:
-            return (scores,) * 5
+            return (likely,) * 5
         lowered = "\x02\x02" + "".join("\x02\x02\x02" + t.lower() + "\x03" for t in texts)
         codes = np.frombuffer(lowered.encode("utf-32-le", "surrogatepass"), np.uint32)[2:]
         high = codes > 127
@@ -436,7 +457,7 @@ class Ceilings:
             begins = np.flatnonzero(high[2:] & ~within[1:-1] & ~within[:-2]) + 2
             most[begins] = [self.first(a, b) for a, b in zip(codes[begins - 2].tolist(), codes[begins - 1].tolist())]
             tops.append(np.add.reduceat(most, starts[:-1]) - others * OTHER_COST)
-        return scores, tops[0], np.max(tops[1:], axis=0), *loose
+        return likely, *(x.tolist() for x in (tops[0], np.max(tops[1:], axis=0), *loose))
 
 
 #: A text that chains give: (text, cost, chain, steps), and (number of the record, text, cost, chain, by UTF-8 steps alone, its ceilings).
@@ -476,14 +497,15 @@ def best_chains(
     ceilings = Ceilings(counts)
     plain = [(k, r) for k, t in enumerate(texts) for r in utf8_reach(t, depth)]
     alone = [set() for _ in texts]
-    scores, *tops = ceilings.of([r[0] for _, r in plain], depth)
-    start = np.array([score for (_, r), score in zip(plain, scores) if not r[3]])
+    likely, *tops = ceilings.of([r[0] for _, r in plain], depth)
+    scores = (np.array(likely) - case_costs([r[0] for _, r in plain])).tolist()
+    start = [score for (_, r), score in zip(plain, scores) if not r[3]]
     best: list[list[Found | None]] = [[None, None] for _ in texts]
     by_steps: list[list[Going]] = [[] for _ in range(depth + 1)]
     for (k, (t, cost, path, steps)), score, *top in zip(plain, scores, *tops):
         alone[k].add(t)
         by_steps[steps].append((k, t, cost, path, True, *top))
-        gain = float(score - start[k]) - cost
+        gain = score - start[k] - cost
         if path and gain > (best[k][0][1] if best[k][0] else 0.0):
             best[k][0] = t, gain, path
     floor = [0.0 if not margins else margins[1] + max(0.0, b[0][1] - margins[0] if b[0] else 0.0) for b in best]
@@ -497,10 +519,11 @@ def best_chains(
         if done == depth:
             break
         made: dict[tuple[int, str], tuple[float, str]] = {}
+        last = done == depth - 1
         for k, t, cost, path, only, top, other_top, loose, other_loose in by_steps[done] + others:
             if cost > least[k][t]:
                 continue
-            used, last = start[k] + cost + floor[k], done == depth - 1
+            used = start[k] + cost + floor[k]
             steps: dict[str, tuple[str, float]] = {}
             if other_top > used:
                 bytes_of = {data: wrong for data, wrong in written(t).items() if cost < spent[k].get((data, t.isupper()), np.inf)}
@@ -508,23 +531,28 @@ def best_chains(
                 # Of the last step's texts those with a character that the clean texts lack may be too unlikely.
                 scarce = last and bytes_of and not ceilings.most_lacking(other_loose, used)
                 bits = functools.reduce(int.__and__, (ceilings.images.get(ch, 0) for ch in set(t) if ch > "\x7f")) if scarce else -1
-                steps = {fixed: (step, OTHER_COST) for fixed, step in read_otherwise(t, bytes_of, bits, least[k], cost + OTHER_COST).items()}
+                if bytes_of:
+                    steps = {fixed: (step, OTHER_COST) for fixed, step in read_otherwise(t, bytes_of, bits, least[k], cost + OTHER_COST).items()}
             if not only and max(top, other_top) > used:
                 most = ceilings.most_lacking(loose, used) if last else 2
-                if utf8 := utf8_steps(t, ceilings.mending(t, most)) if most < 2 else utf8_steps(t):
+                among = ceilings.mending(t, most) if most < 2 else -1
+                if utf8 := utf8_steps(t, among) if among else {}:
                     price = float(np.log(len(utf8 if most == 2 else utf8_steps(t))))
                     steps |= {fixed: (step, price) for fixed, step in utf8.items()}
             for fixed, (step, price) in steps.items():
                 if cost + price < least[k].get(fixed, np.inf):
                     least[k][fixed] = cost + price
                     made[k, fixed] = cost + price, f"{path} {step}".strip()
-        scores, *tops = ceilings.of([t for _, t in made], depth - done - 1)
+        likely, *tops = ceilings.of([t for _, t in made], depth - done - 1)
         others = []
-        for ((k, t), (cost, path)), score, *top in zip(made.items(), scores, *tops):
-            others.append((k, t, cost, path, False, *top))
-            gain = float(score - start[k]) - cost
-            if gain > floor[k] and t not in alone[k]:
-                floor[k], best[k][1] = gain, (t, gain, path)
+        for ((k, t), (cost, path)), score, *top in zip(made.items(), likely, *tops):
+            if not last:
+                others.append((k, t, cost, path, False, *top))
+            # Inner capitals only take, so they are looked for where the text would be the best without.
+            if score - start[k] - cost > floor[k] and t not in alone[k]:
+                gain = score - float(case_costs([t])[0]) - start[k] - cost
+                if gain > floor[k]:
+                    floor[k], best[k][1] = gain, (t, gain, path)
     return [(u, o) for u, o in best]
 
 

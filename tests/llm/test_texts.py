@@ -268,3 +268,16 @@ def test_blocks_are_compressed_once_for_all_classes(spark):
     finally:
         S.block_ratios = plain
     assert calls.value == len(rows), "each text is read once"
+
+
+def test_last_steps_that_mend_nothing_are_not_made(counts, monkeypatch):
+    texts = [*CLEAN, "ооо связь".encode("cp1251").decode("koi8_r")]
+    expected, asked, plain = E.best_chains(texts, counts), [], E.utf8_steps
+    monkeypatch.setattr(E, "utf8_steps", lambda text, among=-1: asked.append(among) or plain(text, among))
+    assert E.best_chains(texts, counts) == expected and asked and 0 not in asked
+    ceilings = E.Ceilings(counts)
+    for text in ("связь", "Ð¡Ð²Ñ", "ãÃ¿þ", "são"):
+        for most in (0, 1):
+            missed = [sum(1 for run in E._HIGH.findall(text) for held in ceilings.lacking(run) if not held >> k & 1) for k in range(len(E.WRONG))]
+            assert [ceilings.mending(text, most) >> k & 1 for k in range(len(E.WRONG))] == [n <= most for n in missed]
+    assert set(E.written("são")) == {"são".encode(w, "lowbyte") for w in E.WRONG if set("ão") <= E.lowbyte_table(w)[1]}
