@@ -281,3 +281,34 @@ def test_last_steps_that_mend_nothing_are_not_made(counts, monkeypatch):
             missed = [sum(1 for run in E._HIGH.findall(text) for held in ceilings.lacking(run) if not held >> k & 1) for k in range(len(E.WRONG))]
             assert [ceilings.mending(text, most) >> k & 1 for k in range(len(E.WRONG))] == [n <= most for n in missed]
     assert set(E.written("são")) == {"são".encode(w, "lowbyte") for w in E.WRONG if set("ão") <= E.lowbyte_table(w)[1]}
+
+
+def test_texts_that_lead_nowhere_are_left_before_the_last_step(counts, monkeypatch):
+    texts = [*CLEAN, "ооо связь".encode("cp1251").decode("koi8_r"), "связь".encode("koi8_r").decode("cp866").encode("utf-8").decode("cp1252")]
+    ceilings, rng, dropped = E.Ceilings(counts), random.Random(7), 0
+    for text in texts:
+        once = [*E.other_steps(text), *E.utf8_steps(text)]
+        twice = [f for t in once for f in (*E.other_steps(t), *E.utf8_steps(t))]
+        some = rng.sample(twice, min(len(twice), 40))
+        for used in (-15.0, -25.0, -40.0):
+            for t, kept in zip(some, ceilings.leads_on(some, [used] * len(some))):
+                steps = E.other_steps(t)
+                gains = [*E.scored([t, *E.utf8_steps(t)], counts), *(E.scored(list(steps), counts) - E.OTHER_COST)]
+                assert kept or max(gains) <= used, t
+                dropped += not kept
+    assert dropped > 100
+    asked, plain = [], E.Ceilings.of
+    monkeypatch.setattr(E.Ceilings, "of", lambda self, ts, steps: asked.extend(ts if steps == 1 else []) or plain(self, ts, steps))
+    found, few = E.best_chains(texts, counts), len(asked)
+    monkeypatch.setattr(E.Ceilings, "leads_on", lambda self, ts, used: [True] * len(ts))
+    assert E.best_chains(texts, counts) == found and few < (len(asked) - few) / 2, "what leads nowhere isn't scored, and nothing is lost by it"
+
+
+def test_sequence_patterns_match_valid_sequences_alone():
+    for wrong in E.WRONG:
+        for bad in (b"\xe0\x80\xaf", b"\xed\xa0\x80", b"\xf0\x80\x80\xaf", b"\xf4\x90\x80\x80"):
+            text = "".join(next(ch for ch, b in E.byte_map(wrong).items() if b == byte) for byte in bad)
+            assert E.repair_utf8(text, wrong, False) == text and not E._sequence(wrong, False).fullmatch(text), (wrong, bad)
+        for ch in "ࠀ퟿\U00010000\U0010ffffñ":
+            text = "".join(next(c for c, b in E.byte_map(wrong).items() if b == byte) for byte in ch.encode())
+            assert E.repair_utf8(text, wrong, False) == ch, (wrong, ch)
